@@ -341,11 +341,11 @@ def same_given(a: str, b: str) -> float:
     if sound(a) == sound(b):
         return 0.97
     d = min(edits(a, b, 2), edits(sound(a), sound(b), 2))
-    if d == 1 and min(len(a), len(b)) >= 4 and not (ca and cb):
+    if d == 1 and min(len(a), len(b)) >= 4 and not (a in GIVEN and b in GIVEN):
         return 0.9
-    if d == 2 and min(len(a), len(b)) >= 7 and not (ca and cb):
+    if d == 2 and min(len(a), len(b)) >= 7 and not (a in GIVEN and b in GIVEN):
         return 0.85
-    if min(len(a), len(b)) >= 3 and max(len(a), len(b)) >= 4 and d <= 2 and a[0] == b[0] and not (ca and cb) and (d == 1 or len(a) > 5 and len(b) > 5):
+    if min(len(a), len(b)) >= 3 and max(len(a), len(b)) >= 4 and d <= 2 and a[0] == b[0] and not (a in GIVEN and b in GIVEN) and (d == 1 or len(a) > 5 and len(b) > 5):
         return 0.85
     for x, cs in ((a, cb), (b, ca)):  # a slip within another form of the same name
         if cs and not _canonical_given(x) and any(edits(sound(x), sound(n), 1) <= 1 for c in cs for n in (c, *NICKNAMES[c].split()) if len(n) >= 4):

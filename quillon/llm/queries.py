@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, components, fusion, mixing, name_links
+from quillon.llm import addresses, bpe, components, fusion, mixing, name_links
 from quillon.runtime import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return name_links.link_names(name_links.queue_names(read(spark, d, "er_queue_item")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.link_places(read(spark, d, "company"), "id", "registered_address_in_full")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs, ids = components.merge_links(read(spark, d, "merge_audit"), read(spark, d, "er_gold_pair"))
     return components.group_ids(pairs, ids, "left", "right")
@@ -46,7 +50,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    fs = (p2_found, p4_found, p6_found, p6_fused, p7_ids, p8_mix, p8_shares)
+    fs = (p2_found, p3_found, p4_found, p6_found, p6_fused, p7_ids, p8_mix, p8_shares)
     return {f.__name__: f for f in fs}
 
 

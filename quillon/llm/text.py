@@ -79,7 +79,7 @@ def unscan(s: str) -> str:
 
 # Spellings that sound alike, applied in this order.
 _SOUND = (
-    ("rn", "m"), ("ph", "f"), ("th", "t"), ("kh", "k"), ("ch", "k"), ("sh", "s"), ("zh", "z"), ("x", "ks"), ("q", "k"), ("c", "k"), ("w", "v"),
+    ("rn", "m"), ("ph", "f"), ("th", "t"), ("kh", "k"), ("ch", "k"), ("sh", "s"), ("zh", "z"), ("x", "ks"), ("ks", "k"), ("q", "k"), ("c", "k"), ("w", "v"),
     ("j", "i"), ("y", "i"), ("h", ""),
 )
 _TWICE = re.compile(r"(.)\1+")
@@ -87,6 +87,7 @@ _TWICE = re.compile(r"(.)\1+")
 
 def sound(word: str) -> str:
     """A spelling key of folded text: letters that transliteration and scanning confuse are one, doubled ones single."""
+    word = _TWICE.sub(r"\1", word)
     for a, b in _SOUND:
         if a in word:
             word = word.replace(a, b)
