@@ -28,12 +28,12 @@ SEP = "\x1f"
 # Kinds of streets; the first of a line is the code.
 KINDS = (
     "street st str strt", "road rd", "lane ln la", "avenue ave av avn aven", "drive dr drv", "square sq sqr", "terrace ter terr tce", "boulevard blvd bd boul bvd bld",
-    "rue r", "place pl plc", "strasse str", "weg wg", "platz pl", "straat str", "laan ln", "gracht gr", "via v", "corso cso c so", "piazza pza p za pzza",
-    "calle c cl", "avenida avda avd av", "plaza pza plz", "ulica ul", "aleja al aleje", "plac pl",
+    "rue r", "place pl plc", "strasse str", "weg wg", "platz pl", "straat str", "laan ln", "gracht gr", "via v", "corso cso", "piazza pza p za pzza",
+    "calle cl", "c", "avenida avda avd av", "plaza pza plz", "ulica ul", "aleja al aleje", "plac pl",
     "close cl", "court ct crt", "way wy", "crescent cres", "gardens gdns", "allee", "quai", "chemin", "viale", "vicolo", "paseo", "camino", "dijk", "plein", "ring", "ufer",
 )
 #: Kinds before the name, after it, and written together with it.
-BEFORE = frozenset("rue avenue boulevard place via corso piazza calle avenida plaza ulica aleja plac quai chemin viale vicolo paseo camino".split())
+BEFORE = frozenset("c rue avenue boulevard place via corso piazza calle avenida plaza ulica aleja plac quai chemin viale vicolo paseo camino".split())
 GLUED = ("strasse", "strass", "straat", "platz", "gracht", "laan", "weg", "allee", "dijk", "plein", "ring", "ufer", "str", "ln", "gr", "wg", "pl")
 # Number words.
 NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
@@ -108,13 +108,15 @@ def parse_address(text: str | None) -> Place | None:
             break
     segs = [x.strip(" -'") for x in s.split(",")]
     segs = [x for x in segs if x.strip('.') and not _HOUSE.match(x.rstrip('.'))]
-    number, parts = "", []
+    number = ""
+    parts: list[str] = []
     for x in segs:
         if not number and (m := _NUM.search(x)):
             number = m[0].lstrip("0") or "0"
             parts += [x[: m.start()].strip(" -"), x[m.end() :].strip(" -.")]
         else:
             parts.append(x)
+    parts = [x for x in parts if not _HOUSE.match(x.rstrip("."))]
     if not number:
         for i, x in enumerate(parts):
             ws = x.replace("-", " ").split()
@@ -156,7 +158,8 @@ def parse_address(text: str | None) -> Place | None:
         return None
     towns = [re.sub(r"^(?:[a-z]{2}) | (?:[a-z]{2})$", "", t) for t in towns]
     towns = [t for t in towns if len(t) > 2 and t not in _NATIONS]
-    return number, street.replace(" ", ""), kind, max(towns, key=len, default="").replace(" ", ""), post
+    # "c." is short for several kinds
+    return number, street.replace(" ", ""), "" if kind == "c" else kind, max(towns, key=len, default="").replace(" ", ""), post
 
 
 def _square(kind: str) -> str:
@@ -193,18 +196,33 @@ def same_place(v: tuple[int, int, int, int]) -> bool:
     return post != 0 or street == 3 and town == 3
 
 
-def estimate(counts: dict[tuple[int, ...], int], *, rounds: int = 50, prior: float = 0.3) -> tuple[float, list[list[float]], list[list[float]]]:
+def chance_levels(counts: list[tuple[float, float, float]]) -> list[list[float]]:
+    """Chances of each level for two unrelated places, of fields with (rows, rows that miss it, sum of squared counts of its values)."""
+    out = []
+    for n, missing, squares in counts:
+        n = max(n, 1.0)
+        gap = 1 - (1 - missing / n) ** 2
+        same = min(0.9, max(1e-6, squares / n**2))
+        slip = min(0.05, 2 * same)
+        out.append([max(1e-6, 1 - gap - same - slip), max(1e-4, gap), slip, same])
+    return [[x / sum(r) for x in r] for r in out]
+
+
+def estimate(
+    counts: dict[tuple[int, ...], int], u: list[list[float]], *, rounds: int = 50, prior: float = 0.5
+) -> tuple[float, list[list[float]], list[list[float]]]:
     """Share of matches and the chances of each level among matches and others, by expectation-maximization.
 
-    ``counts`` has the number of candidate pairs of each pattern, at most 4**4 of them.
-    The level "missing" has chances of its own, so it says as much as the data let it.
+    ``counts`` has the number of candidate pairs of each pattern, at most 4**4 of
+    them; ``u``, the chances among unrelated places, is taken from the values of
+    all places and held, as blocks may contain hardly any unrelated pair.  The
+    level "missing" has chances of its own among matches, so it counts for as
+    much as the data say.
     """
-    k = len(next(iter(counts), (0, 0, 0, 0)))
-    m = [[0.05, 0.1, 0.15, 0.7] for _ in range(k)]
-    u = [[0.7, 0.1, 0.1, 0.1] for _ in range(k)]
+    m = [[0.05, 0.1, 0.15, 0.7] for _ in u]
     p, total = prior, sum(counts.values()) or 1
     for _ in range(rounds):
-        sm, su, weight = [[1e-3] * LEVELS for _ in range(k)], [[1e-3] * LEVELS for _ in range(k)], 0.0
+        sm, weight = [[0.01 * total + 1e-3] * LEVELS for _ in u], 0.0
         for v, n in counts.items():
             a, b = p, 1 - p
             for f, x in enumerate(v):
@@ -213,10 +231,8 @@ def estimate(counts: dict[tuple[int, ...], int], *, rounds: int = 50, prior: flo
             weight += g
             for f, x in enumerate(v):
                 sm[f][x] += g
-                su[f][x] += n - g
-        p = min(0.999, max(0.001, weight / total))
+        p = min(0.99, max(0.01, weight / total))
         m = [[x / sum(r) for x in r] for r in sm]
-        u = [[x / sum(r) for x in r] for r in su]
     return p, m, u
 
 
@@ -233,6 +249,23 @@ def _blocks(p: Place) -> list[str]:
     return [f"p{number}.{post}"] * bool(post) + [f"s{number}.{s}"] + [f"t{number}.{sound(town)}.{s[:1]}"] * bool(town)
 
 
+def _fill_towns(held: DataFrame, *, least: int = 3, share: float = 0.8) -> DataFrame:
+    """Places without a town get the one that nearly all places of their postcode area have.
+
+    An area is the leading letters or three digits of the postcode, by its length and the kind of street.
+    """
+    f = F.split("place", SEP)
+    number, street, kind, town, post = (f[i] for i in range(5))
+    area = F.concat_ws(".", F.length(post), F.when(post.rlike("^[a-z]"), F.regexp_extract(post, "^([a-z]+)", 1)).otherwise(F.substring(post, 1, 3)), F.substring(kind, 1, 2))
+    rows = held.withColumns({"town": town, "area": F.when(post != "", area)})
+    n = rows.where("town != '' and area is not null").groupBy("area", "town").count()
+    known = n.groupBy("area").agg(F.max_by("town", F.struct("count", "town")).alias("t"), F.max("count").alias("m"), F.sum("count").alias("n"))
+    known = known.where((F.col("m") >= least) & (F.col("m") >= share * F.col("n"))).select("area", "t")
+    gap = rows.where("town = '' and area is not null").join(known, "area", "left")
+    filled = gap.select("id", F.concat_ws(SEP, number, street, kind, F.coalesce("t", F.lit("")), post).alias("place"))
+    return rows.where("town != '' or area is null").select("id", "place").unionByName(filled)
+
+
 def link_places(rows: DataFrame, id_col: str, address_col: str, *, least: float = 0.5) -> DataFrame:
     """``(left_id, right_id)``, smaller first: pairs of rows whose address is the same house of the same street and town.
 
@@ -249,6 +282,8 @@ def link_places(rows: DataFrame, id_col: str, address_col: str, *, least: float
     src = spread(rows.where(F.col(id_col).isNotNull() & F.col(address_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(address_col).alias("a")))
     held = table(src.mapInArrow(parse, "id string, place string").where("place is not null"), "places")
 
+    held = table(_fill_towns(held), "filled")
+
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ps, ks = [], []
@@ -272,7 +307,16 @@ def link_places(rows: DataFrame, id_col: str, address_col: str, *, least: float
 
     patterns = table(pairs.mapInArrow(compare, "a string, b string, v string").where("v is not null"), "patterns")
     counts = {tuple(map(int, r.v)): r["count"] for r in patterns.groupBy("v").count().collect()}  # at most 256 patterns
-    model = estimate(counts) if counts else (0.5, [], [])
+    f = F.split("place", SEP)
+    places = held.select("place").distinct().select(F.explode(F.array(*(
+        F.struct(F.lit(i).alias("i"), (F.substring(f[k], 1, 2) if k == 2 else f[k]).alias("x")) for i, k in enumerate((1, 2, 3, 4))
+    ))).alias("s")).groupBy("s.i", "s.x").count()
+    told = F.col("x") != ""
+    sums = places.groupBy("i").agg(
+        F.sum("count").alias("n"), F.sum(F.when(~told, F.col("count")).otherwise(0)).alias("gap"),
+        F.sum(F.when(told, F.col("count").cast("double") * F.col("count")).otherwise(0.0)).alias("sq"),
+    ).orderBy("i").collect()  # four rows
+    model = estimate(counts, chance_levels([(r.n, r.gap, r.sq) for r in sums])) if counts else (0.5, [], [])
     good = ["".join(map(str, v)) for v in counts if same_place(v) and weigh(v, model) >= least]
     links = patterns.where(F.col("v").isin(*good) if good else F.lit(False)).select("a", "b")
     roots = connected_components(links, "a", "b").select(F.col("v").alias("place"), "root")

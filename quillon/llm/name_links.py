@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quillon.llm import names as N
 from quillon.llm.components import connected_components
 from quillon.llm.text import fold, sound, unscan
-from quillon.runtime import spread, table
+from quillon.runtime import deal, table
 
 SEP = "\x1f"
 #: Least likeness of two names of one person or organisation.
@@ -127,7 +127,7 @@ def link_names(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(folded, pa.string()), b.column(3)], ["entity_id", "person", "folded", "date"])
 
     folded = table(
-        spread(rows.select("entity_id", "person", "name", "date")).mapInArrow(fold_names, "entity_id string, person boolean, folded string, date string"), "folded"
+        deal(rows.select("entity_id", "person", "name", "date")).mapInArrow(fold_names, "entity_id string, person boolean, folded string, date string"), "folded"
     )
     given = frequent_words(folded, True)
     common = frequent_words(folded, False) | N.COMMON

@@ -170,9 +170,32 @@ def parse_org(name: str | None, common: frozenset[str] = COMMON) -> tuple[str, t
     return stem, tuple(ws[:i] + ws[i + 1 :]), legal
 
 
+@lru_cache(8)
+def _cut(common: frozenset[str]) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """Words by themselves and with one letter left out; long words by first letter."""
+    index: dict[str, list[str]] = {}
+    for c in common:
+        for k in {c, *(c[:i] + c[i + 1 :] for i in range(len(c)))}:
+            index.setdefault(k, []).append(c)
+    long: dict[str, list[str]] = {}
+    for c in common:
+        if len(c) > 7:
+            long.setdefault(c[0], []).append(c)
+    return index, long
+
+
+def _near(w: str, common: frozenset[str], least: int) -> bool:
+    index, long = _cut(common)
+    for k in (w, *(w[:i] + w[i + 1 :] for i in range(len(w)))):
+        for c in index.get(k, ()):
+            if len(c) >= least and edits(w, c, 1) <= 1:
+                return True
+    return len(w) > 5 and any(abs(len(w) - len(c)) <= 2 and edits(w, c, 2) <= 2 for c in long.get(w[0], ()))
+
+
 @lru_cache(200_000)
 def _near_common(w: str, common: frozenset[str]) -> bool:
-    return any(abs(len(w) - len(c)) <= 1 and len(c) > 4 and edits(w, c, 1) <= 1 or len(c) > 7 and edits(w, c, 2) <= 2 for c in common)
+    return _near(w, common, 5)
 
 
 @lru_cache(200_000)
@@ -260,10 +283,7 @@ Person = tuple[str, tuple[str, ...], str, str]
 
 @lru_cache(200_000)
 def _near_given(w: str, common: frozenset[str]) -> bool:
-    return any(
-        abs(len(w) - len(c)) <= 1 and len(c) >= 3 and min(edits(w, c, 1), edits(sound(w), sound(c), 1)) <= 1 or len(c) >= 8 and edits(w, c, 2) <= 2
-        for c in common
-    )
+    return _near(w, common, 3)
 
 
 GIVEN = frozenset(x for g, n in NICKNAMES.items() for x in (g, *n.split()))
