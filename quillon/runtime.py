@@ -92,7 +92,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition only if the input has fewer splits than the cluster has cores.
 
     Large inputs keep their splits and pay no shuffle; a few big files in front
-    of heavy per-row work are dealt out over the cores.
+    of heavy per-row work are dealt out over the cores.  For scans only: asking
+    for the splits of a plan with a shuffle would run it.
     """
     n = cores(df.sparkSession)
     if df.rdd.getNumPartitions() >= n:
@@ -100,5 +101,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(3 * n, *keys) if keys else df.repartition(3 * n)
 
 
+def deal(df: DataFrame) -> DataFrame:
+    """Deal rows that come out of a shuffle evenly over the cores, for heavy work per row."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
