@@ -219,6 +219,11 @@ def same_word(a: str, b: str) -> float:
         return 0.9
     if _abbreviates(a, b) or _abbreviates(b, a):
         return 0.8
+    if short == 3 and len(a) == len(b) and a[0] == b[0] and edits(a, b, 1) <= 1:
+        return 0.7
+    x, y = sorted((a, b), key=len)
+    if len(x) >= 5 and any(_abbreviates(x[:i] + x[i + 1 :], y) for i in range(2, len(x))):
+        return 0.7  # a shortened word with a slip
     if short >= 5 and edits(a, b, 2) <= 2 and a[0] == b[0]:
         return 0.7
     if 4 <= short < max(len(a), len(b)) and edits(min(a, b, key=len), max(a, b, key=len)[:short], 1) <= 1:

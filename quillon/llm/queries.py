@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import addresses, bpe, components, fusion, mixing, name_links
+from quillon.llm import addresses, bpe, components, entity_match, fusion, mixing, name_links
 from quillon.runtime import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    left = entity_match.company_records(read(spark, d, "company"))
+    return entity_match.match_records(left, entity_match.listed_records(read(spark, d, "ftm_entity")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("left_id", "right_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return name_links.link_names(name_links.queue_names(read(spark, d, "er_queue_item")))
 
@@ -50,7 +59,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    fs = (p2_found, p3_found, p4_found, p6_found, p6_fused, p7_ids, p8_mix, p8_shares)
+    fs = (p1_found, p1_matches, p2_found, p3_found, p4_found, p6_found, p6_fused, p7_ids, p8_mix, p8_shares)
     return {f.__name__: f for f in fs}
 
 
