@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import addresses, bpe, components, entity_match, fusion, mixing, name_links
+from quillon.llm import addresses, boilerplate, bpe, components, entity_match, fusion, mixing, name_links
 from quillon.runtime import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return components.group_ids(pairs, ids, "left", "right")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(read(spark, d, "article_text"))
+
+
 def _p6_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return fusion.claims(read(spark, d, "er_queue_item"), read(spark, d, "seed_spec")), fusion.members(read(spark, d, "merge_audit"))
 
@@ -59,7 +63,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    fs = (p1_found, p1_matches, p2_found, p3_found, p4_found, p6_found, p6_fused, p7_ids, p8_mix, p8_shares)
+    fs = (p1_found, p1_matches, p2_found, p3_found, p4_found, p5_found, p6_found, p6_fused, p7_ids, p8_mix, p8_shares)
     return {f.__name__: f for f in fs}
 
 
