@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import addresses, boilerplate, bpe, components, entity_match, fusion, mixing, name_links
+from quillon.llm import addresses, boilerplate, bpe, components, entity_match, fusion, mixing, name_links, subjects
 from quillon.runtime import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +62,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_target"))[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(read(spark, d, "documents"), read(spark, d, "subject_label"), read(spark, d, "subject_area"))
+
+
 def queries() -> dict[str, Query]:
-    fs = (p1_found, p1_matches, p2_found, p3_found, p4_found, p5_found, p6_found, p6_fused, p7_ids, p8_mix, p8_shares)
+    fs = (p1_found, p1_matches, p2_found, p3_found, p4_found, p5_found, p6_found, p6_fused, p7_ids, p8_mix, p8_shares, p9_found)
     return {f.__name__: f for f in fs}
 
 
