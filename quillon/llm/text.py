@@ -32,6 +32,20 @@ _WORD = re.compile(r"\S+")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 
 
+_RUN = re.compile("[" + "".join(re.escape(c) for c in sorted(_CP1252)) + "]{2,}")
+
+
+def mend(s: str) -> str:
+    """Undo UTF-8 that was read as a one-byte code, where a run of characters is valid UTF-8."""
+    def run(m: re.Match) -> str:
+        try:
+            return bytes(_CP1252[c] for c in m[0]).decode("utf-8")
+        except UnicodeDecodeError:
+            return m[0]
+
+    return s if s.isascii() else _RUN.sub(run, s)
+
+
 def _moji(m: re.Match) -> str:
     try:
         return bytes([_LEAD[m[1]], _CP1252[m[2]]]).decode("utf-8")
@@ -60,7 +74,7 @@ def fold(s: str | None) -> str:
     if not s:
         return ""
     if not s.isascii():
-        s = _MOJI.sub(_moji, s)
+        s = _MOJI.sub(_moji, mend(s))
         s = unicodedata.normalize("NFKC", _HIDDEN.sub("", s)).lower()
         s = "".join(LETTERS.get(c, c) for c in s)
         s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
