@@ -126,13 +126,14 @@ def _votes(facts: DataFrame, acc: DataFrame, copies: DataFrame | None, n_false:
 def fuse(rows: DataFrame, groups: DataFrame, *, rounds: int = 3, n_false: int = 20, copy_prior: float = 0.1) -> DataFrame:
     """``(canonical_id, field, value, posterior)``: the value with the largest posterior.
 
-    Each round scores the values by ``sum of log(n * A / (1 - A))`` over the
-    sources that state them, sets each source's accuracy ``A`` to the mean
-    posterior of its values, and re-estimates for each pair of sources the
-    chance that one copies the other: shared values that are probably false are
-    strong evidence of copying, shared true values weak, differing values
-    evidence against it.  A vote counts less the likelier its source copies a
-    better source that states the same.  Sources are the configured
+    Each round estimates for each pair of sources the chance that one copies the
+    other, scores the values by ``sum of log(n * A / (1 - A))`` over the sources
+    that state them, and sets each source's accuracy ``A`` to the mean posterior
+    of its values.  Shared values that are probably false are strong evidence of
+    copying, shared true values weak, differing values evidence against it;
+    copies are sought first, so that copied votes do not settle which values are
+    true.  A vote counts less the likelier its source copies a better source
+    that states the same.  Sources are the configured
     instances, so the tables per source and per pair of sources are small by
     nature; all counting is done in aggregations over all claims.
     Ties go to the smallest value; a field without a real value gives no row.
@@ -148,9 +149,6 @@ def fuse(rows: DataFrame, groups: DataFrame, *, rounds: int = 3, n_false: int =
     ln = math.log
     for _ in range(rounds):
         scored = facts.join(post, ["canonical_id", "field", "value"])
-        acc = table(
-            scored.groupBy("source").agg(F.least(F.lit(0.99), F.greatest(F.lit(0.05), F.avg("posterior"))).alias("acc")), "acc"
-        )
         # pairs of sources over the same group and field; a pair's counts are pre-aggregated map-side
         both = scored.select("canonical_id", "field", F.col("source").alias("a"), F.col("value").alias("va"), "posterior").join(
             facts.select("canonical_id", "field", F.col("source").alias("b"), F.col("value").alias("vb")), ["canonical_id", "field"]
@@ -179,5 +177,9 @@ def fuse(rows: DataFrame, groups: DataFrame, *, rounds: int = 3, n_false: int =
         )
         old, post = post, table(_votes(facts, acc, copies, n_false), "post")
         drop_table(old)
+        scored = facts.join(post, ["canonical_id", "field", "value"])
+        acc = table(
+            scored.groupBy("source").agg(F.least(F.lit(0.99), F.greatest(F.lit(0.05), F.avg("posterior"))).alias("acc")), "acc"
+        )
     best = F.min(F.struct((-F.round("posterior", 12)).alias("least"), "value", "posterior")).alias("x")
     return post.groupBy("canonical_id", "field").agg(best).select("canonical_id", "field", "x.value", "x.posterior")
