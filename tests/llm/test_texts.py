@@ -67,7 +67,7 @@ def test_subjects(spark):
         docs.append((i, " ".join(f"Nobody had expected the {rng.choice(ws)} near the {rng.choice(ws)} this much." for _ in range(4))))
         if i < 120:
             labels.append((i, s))
-    docs += [(900, None), (901, ""), (902, "Nothing more was said of it today."), (903, "Nobody had expected the verdict this much. They spoke of the penalty and the league that day."), (1, docs[1][1])]
+    docs += [(900, None), (901, ""), (902, "Nothing more was said of it today."), (903, "Nobody had expected the verdict of the tribunal this much. They spoke of the penalty and the league that day."), (1, docs[1][1])]
     labels += [(1, "unknown"), (5555, "law")]
     a = spark.createDataFrame([(n, n) for n in names], "subject string, title string")
     d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string")
