@@ -120,7 +120,14 @@ def is_sensitive(topics: Column, vocabulary: tuple[str, ...] = BENIGN_TOPICS) ->
     return F.coalesce(F.arrays_overlap(topics, F.array(*map(F.lit, RISKS))) | below | (F.size(F.array_except(topics, known)) > 0), F.lit(False))
 
 
+# Topics of the older test.
+OLD_RISKS = ("sanction", "sanction.linked", "poi", "crime", "crime.fraud", "crime.terror", "wanted")
+
+
 def was_sensitive(topics: Column) -> Column:
-    """The older, narrower test: the plain risks of sanctions, crime and politics, and codes below them."""
-    heads = ("sanction", "role.pep", "crime")
-    return F.coalesce(F.exists(topics, lambda t: reduce(lambda a, b: a | b, ((t == h) | t.startswith(h + ".") for h in heads))), F.lit(False))
+    """The older, narrower test: some codes, and any that begin like political or sanctioned ones."""
+    return F.coalesce(F.exists(topics, lambda t: t.isin(*OLD_RISKS) | t.startswith("role.pep") | t.startswith("sanction")), F.lit(False))
+
+
+def newly_sensitive(topics: Column, vocabulary: tuple[str, ...] = BENIGN_TOPICS) -> Column:
+    return is_sensitive(topics, vocabulary) & ~was_sensitive(topics)
