@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters for transliteration of names.
 _CYRILLIC = dict(zip("абвгдезийклмнопрстуфхыэ", "abvgdezijklmnoprstufhye")) | {
@@ -61,7 +62,7 @@ def jaro_winkler_bytes(a: str, b: str) -> float:
     return sim
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_bytes(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -84,7 +85,7 @@ def name_key(text: str | None) -> str | None:
     return full if not kept or len(kept) == 1 and kept[0] in _GENERAL else " ".join(kept)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def name_fingerprint(names: pd.Series) -> pd.Series:
     return names.map(name_key, na_action="ignore").astype(object)
 
@@ -136,12 +137,12 @@ def text_of_html(page: str | None, shortest: int = 40, most: int = 20_000) -> st
     return body[:most]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text(pages: pd.Series) -> pd.Series:
     return pages.map(text_of_html)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def uuid5(keys: pd.Series) -> pd.Series:
     return keys.map(lambda k: str(uuid.uuid5(uuid.NAMESPACE_URL, k)), na_action="ignore")
 
@@ -157,6 +158,6 @@ def blocked_address(text: str | None) -> bool:
     return shared or ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_multicast or ip.is_reserved or ip.is_unspecified
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_blocked_ip(addresses: pd.Series) -> pd.Series:
     return addresses.map(blocked_address)
