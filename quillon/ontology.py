@@ -115,7 +115,7 @@ def topic_label(code: Column) -> Column:
 
 def is_sensitive(topics: Column, vocabulary: tuple[str, ...] = BENIGN_TOPICS) -> Column:
     """Deny by default: a risk, a code below a risk, or a code outside the vocabulary; no topics are benign."""
-    below = reduce(lambda a, b: a | b, (F.exists(topics, lambda t, r=r: t.startswith(r + ".")) for r in RISKS))
+    below = F.exists(topics, lambda t: reduce(lambda a, b: a | b, (t.startswith(r + ".") for r in RISKS)))
     known = F.array(*map(F.lit, (*RISKS, *vocabulary)))
     return F.coalesce(F.arrays_overlap(topics, F.array(*map(F.lit, RISKS))) | below | (F.size(F.array_except(topics, known)) > 0), F.lit(False))
 

@@ -164,9 +164,13 @@ def pick_anchor(clusters: DataFrame, entities: DataFrame) -> DataFrame:
     """
     m = clusters.select("canonical_id", F.col("member_id").alias("id")).join(entities.select("id", "props", "anchors"), "id")
     none = F.array().cast("array<string>")
+
+    def shaped(vs: Column, shape: str) -> Column:
+        return F.filter(vs, lambda v: F.trim(v).rlike(shape))
+
     tiers = F.array(*(
-        F.struct(F.lit(i).alias("rank"), F.lit(k).alias("kind"), F.filter(
-            F.concat(F.coalesce(F.col("props")[p], none) if p else none, F.coalesce(F.col("anchors")[c], none) if c else none), lambda v, r=r: F.trim(v).rlike(r)
+        F.struct(F.lit(i).alias("rank"), F.lit(k).alias("kind"), shaped(
+            F.concat(F.coalesce(F.col("props")[p], none) if p else none, F.coalesce(F.col("anchors")[c], none) if c else none), r
         ).alias("vs")) for i, (k, p, c, r) in enumerate(TIERS)
     ))
     rows = m.select("canonical_id", F.explode(tiers).alias("t")).select("canonical_id", "t.rank", "t.kind", F.explode("t.vs").alias("value"))
