@@ -87,15 +87,16 @@ def cluster(entities: DataFrame, pairs: DataFrame, judgements: DataFrame | None
     within a cluster, 1 where there is none.
     """
     ids = entities.select("id").distinct()
-    strong = pairs.where(F.col("probability") >= threshold).select("left_id", "right_id", "probability", F.lit("pair").alias("kind"))
+    strong = table(pairs.where(F.col("probability") >= threshold).select("left_id", "right_id", "probability", F.lit("pair").alias("kind")), "strong")
     links = strong
     if judgements is not None:
         known = ids.select(F.col("id").alias("left_id"))
         j = judgements.join(known, "left_id", "left_semi").join(ids.select(F.col("id").alias("right_id")), "right_id", "left_semi")
         j = j.select("left_id", "right_id", F.lit(1.0).alias("probability"), F.col("judgement").alias("kind"))
-        links = strong.unionByName(j)
-    links = table(links, "links")
+        links = table(strong.unionByName(j), "links")
     parts = components(links.where("kind != 'negative'"))
+    if judgements is None:
+        return _scored_sets(ids, parts, strong)
     torn = links.where("kind = 'negative'").join(parts.select(F.col("id").alias("left_id"), F.col("root").alias("rl")), "left_id").join(
         parts.select(F.col("id").alias("right_id"), F.col("root").alias("rr")), "right_id"
     ).where("rl = rr").select(F.col("rl").alias("root")).distinct()
@@ -103,6 +104,10 @@ def cluster(entities: DataFrame, pairs: DataFrame, judgements: DataFrame | None
     inside = links.join(parts.select(F.col("id").alias("left_id"), "root"), "left_id").join(torn, "root", "left_semi")
     settled = inside.groupBy("root").applyInPandas(_greedy, "id string, root string")
     roots = parts.join(torn, "root", "left_anti").select("id", "root").unionByName(settled)
+    return _scored_sets(ids, table(roots, "roots"), strong)
+
+
+def _scored_sets(ids: DataFrame, roots: DataFrame, strong: DataFrame) -> DataFrame:
     placed = ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     sets = placed.groupBy("root").agg(F.array_sort(F.collect_list("id")).alias("members"))
     r = lambda c, o: roots.select(F.col("id").alias(c), F.col("root").alias(o))

@@ -114,10 +114,11 @@ def neighbors(nodes: DataFrame, edges: DataFrame, entity_id: str, hops: int = 1,
     step = both_ways(edges).select("src", "dst").distinct()
     if avoid is not None:
         step = step.join(avoid.select(F.col("id").alias("dst")), "dst", "left_anti")
-    front = spark.createDataFrame([(entity_id,)], "id string")
-    seen = front
-    for _ in range(clamp(hops, 1, MAX_HOPS)):
+    seen = front = spark.createDataFrame([(entity_id,)], "id string")
+    n = clamp(hops, 1, MAX_HOPS)
+    for k in range(n):
         front = front.join(step, front["id"] == step["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        front = table(front, "front") if k + 1 < n else front  # each hop is walked once
         seen = seen.unionByName(front)
     out = nodes.join(seen.where(F.col("id") != entity_id), "id", "left_semi")
     return out if limit is None else out.orderBy("id").limit(limit)
@@ -129,9 +130,11 @@ def reach(starts: DataFrame, edges: DataFrame, hops: int, avoid: DataFrame | Non
     if avoid is not None:
         step = step.join(avoid.select(F.col("id").alias("dst")), "dst", "left_anti")
     front = seen = starts.select("start", F.col("start").alias("id")).distinct()
-    for _ in range(clamp(hops, 1, MAX_HOPS)):
+    n = clamp(hops, 1, MAX_HOPS)
+    for k in range(n):
         nxt = front.join(step, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
         front = nxt.join(seen, ["start", "id"], "left_anti")
+        front = table(front, "front") if k + 1 < n else front
         seen = seen.unionByName(front)
     return seen.where(F.col("start") != F.col("id"))
 
@@ -158,7 +161,7 @@ def shortest_path(edges: DataFrame, from_id: str, to_id: str, max_hops: int = MA
         nxt = front.join(step, front["id"] == step["src"]).select(
             F.col("dst").alias("id"), F.concat("ids", F.array("dst")).alias("ids"), F.concat("types", F.array("type")).alias("types")
         ).join(seen, "id", "left_anti")
-        front = nxt.groupBy("id").agg(F.min(F.struct("ids", "types")).alias("p")).select("id", "p.ids", "p.types")
+        front = table(nxt.groupBy("id").agg(F.min(F.struct("ids", "types")).alias("p")).select("id", "p.ids", "p.types"), "front")
         goals.append(front.where(F.col("id") == to_id))
         seen = seen.unionByName(front.select("id"))
     rows = goals[0]

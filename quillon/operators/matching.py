@@ -41,31 +41,59 @@ def flatten(entities: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(rows: DataFrame, keys: dict[str, Column] | None = None) -> DataFrame:
-    """``(id_l, id_r)`` of rows that share any key, each pair once; null keys never meet.
+def _keys(keys: dict[str, Column] | None) -> Column:
+    keys = keys or {"c": F.col("country"), "n": F.when(F.col("name_fp") != "", F.substring("name_fp", 1, 4)), "w": F.col("wikidata_id")}
+    return F.array_compact(F.array(*(F.when(k.isNotNull(), F.concat(F.lit(f"{t}:"), k)) for t, k in keys.items())))
+
 
-    One equi-join over the exploded keys: AQE splits a block that holds much of
-    the rows, and the union of several joins is not needed.
+def _block(rows: DataFrame, keys: dict[str, Column] | None, columns: list[str], block_rows: int = 1000) -> DataFrame:
+    """Pairs of rows with their columns suffixed ``_l`` and ``_r``, each pair once.
+
+    One equi-join over the exploded keys; a pair is kept under the first key that
+    both have, so no second shuffle has to make the pairs distinct.  A block of
+    more than ``block_rows`` rows is salted: its left rows are dealt out to
+    several parts and its right rows are in each, so that no task holds all
+    pairs of a hot key.
     """
-    keys = keys or {"c": F.col("country"), "n": F.when(F.col("name_fp") != "", F.substring("name_fp", 1, 4)), "w": F.col("wikidata_id")}
-    tagged = F.array_compact(F.array(*(F.when(k.isNotNull(), F.concat(F.lit(f"{t}:"), k)) for t, k in keys.items())))
-    k = rows.select("id", F.explode(tagged).alias("k"))
-    a, b = k.select("k", F.col("id").alias("id_l")), k.select("k", F.col("id").alias("id_r"))
-    return a.join(b, "k").where("id_l < id_r").select("id_l", "id_r").distinct()
+    k = rows.select(*columns, _keys(keys).alias("ks")).select("*", F.explode("ks").alias("k"))
+    hot = k.groupBy("k").count().where(F.col("count") > block_rows).select("k", F.ceil(F.col("count") / block_rows).cast("int").alias("parts"))
+    k = k.join(hot, "k", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    side = lambda s, salt: k.select("k", salt.alias("salt"), *(F.col(c).alias(c + s) for c in (*columns, "ks")))
+    n = max(2 * rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = F.get(F.array_intersect("ks_l", "ks_r"), F.lit(0))
+    # few rows make many pairs: the number of parts follows the pairs, not the bytes of the rows
+    l, r = side("_l", own).repartition(n, "k", "salt"), side("_r", every).repartition(n, "k", "salt")
+    return l.join(r, ["k", "salt"]).where((F.col("id_l") < F.col("id_r")) & (first == F.col("k"))).drop("k", "salt", "ks_l", "ks_r")
+
+
+def candidate_pairs(rows: DataFrame, keys: dict[str, Column] | None = None) -> DataFrame:
+    """``(id_l, id_r)`` of rows that share any key, each pair once; null keys never meet."""
+    return _block(rows, keys, ["id"])
 
 
 def _factor(level: tuple[float, float]) -> Column:
     return F.lit(level[0] / level[1])
 
 
-def bayes_factor(l: str = "_l", r: str = "_r") -> Column:
-    """Product of the comparisons' factors; a missing value is neutral."""
-    x, y = (lambda c: F.col(c + l)), (lambda c: F.col(c + r))
-    name = (
+def _sides(l: str, r: str):
+    return (lambda c: F.col(c + l)), (lambda c: F.col(c + r))
+
+
+def name_factor(l: str = "_l", r: str = "_r") -> Column:
+    """Factor of the names, by ``jw`` where they differ; a missing name is neutral."""
+    x, y = _sides(l, r)
+    return (
         F.when(x("name_fp").isNull() | y("name_fp").isNull(), 1.0).when(x("name_fp") == y("name_fp"), _factor(NAME[0]))
         .when(F.col("jw") >= NAME_EDGES[0], _factor(NAME[1])).when(F.col("jw") >= NAME_EDGES[1], _factor(NAME[2])).otherwise(_factor(NAME[3]))
     )
 
+
+def other_factors(l: str = "_l", r: str = "_r") -> Column:
+    """Product of the factors of all comparisons but the name; a missing value is neutral."""
+    x, y = _sides(l, r)
+
     def exact(c: str, mu: tuple[float, float]) -> Column:
         m, u = mu
         return F.when(x(c).isNull() | y(c).isNull(), 1.0).when(x(c) == y(c), m / u).otherwise((1 - m) / (1 - u))
@@ -76,24 +104,28 @@ def bayes_factor(l: str = "_l", r: str = "_r") -> Column:
         c = f"anchor_{a}"
         clash = clash | ((x(c) != "") & (y(c) != "") & (x(c) != y(c)))
     anchor = F.when(clash, _factor(ANCHOR_CLASH)).otherwise(1.0)
-    return name * exact("country", COUNTRY) * exact("birth_date", BIRTH) * exact("wikidata_id", WIKIDATA) * reg * anchor
+    return exact("country", COUNTRY) * exact("birth_date", BIRTH) * exact("wikidata_id", WIKIDATA) * reg * anchor
 
 
 def score_pairs(rows: DataFrame, *, prior: float = PRIOR, predict: float = PREDICT, keys: dict[str, Column] | None = None) -> DataFrame:
     """``(left_id, right_id, probability)`` of the candidate pairs of compatible schemata that reach ``predict``.
 
-    The string distance is asked only for pairs that could still pass with the
-    best name factor, are unequal and of comparable length.
+    The other comparisons come first, in Catalyst: a pair that could not reach
+    ``predict`` with the best factor that unequal names can have is dropped, so
+    the string distance is asked for few pairs, and only of comparable length.
     """
-    pairs = candidate_pairs(rows, keys)
-    side = lambda s: rows.select(*(F.col(c).alias(c + s) for c in rows.columns))
-    both = pairs.join(side("_l"), "id_l").join(side("_r"), "id_r")
+    both = _block(rows, keys, rows.columns)
     compat = O.compatibility(rows.sparkSession).select(F.col("schema_l"), F.col("schema_r"))
-    both = both.join(F.broadcast(compat), ["schema_l", "schema_r"], "left_semi")  # a few hundred rows by construction
-    far = F.greatest(F.length("name_fp_l"), F.length("name_fp_r")) > 3 * F.least(F.length("name_fp_l"), F.length("name_fp_r"))
-    need = F.col("name_fp_l").isNotNull() & F.col("name_fp_r").isNotNull() & (F.col("name_fp_l") != F.col("name_fp_r")) & ~far
-    asked = both.withColumn("_a", F.when(need, F.col("name_fp_l"))).withColumn("jw", F.coalesce(jaro_winkler(F.col("_a"), F.col("name_fp_r")), F.lit(0.0)))
-    odds = F.lit(prior / (1 - prior)) * bayes_factor()
+    both = both.join(F.broadcast(compat), ["schema_l", "schema_r"], "left_semi")  # below 300 rows by construction
+    x, y = F.col("name_fp_l"), F.col("name_fp_r")
+    unequal = x.isNotNull() & y.isNotNull() & (x != y)
+    rest = F.lit(prior / (1 - prior)) * other_factors()
+    need = predict / (1 - predict)
+    best = F.when(x.isNull() | y.isNull(), 1.0).when(unequal, _factor(NAME[1])).otherwise(_factor(NAME[0]))
+    both = both.withColumn("rest", rest).where(F.col("rest") * best >= need * (1 - 1e-9))
+    far = F.greatest(F.length(x), F.length(y)) > 3 * F.least(F.length(x), F.length(y))
+    asked = both.withColumn("_a", F.when(unequal & ~far, x)).withColumn("jw", F.coalesce(jaro_winkler(F.col("_a"), y), F.lit(0.0)))
+    odds = F.col("rest") * name_factor()
     return asked.select(F.col("id_l").alias("left_id"), F.col("id_r").alias("right_id"), (odds / (1 + odds)).alias("probability")).where(F.col("probability") >= predict)
 
 
