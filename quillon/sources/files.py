@@ -96,7 +96,8 @@ def intrusion_sets(spark: SparkSession, path: str, retrieved_at: str) -> DataFra
 
 def json_array(spark: SparkSession, path: str, item: str, key: Column, retrieved_at: str) -> DataFrame:
     """Objects of a JSON array of fields ``item``; what is no object is skipped."""
-    df = _documents(spark, path).select(F.explode(F.from_json("value", f"array<struct<{item}>>")).alias("o")).where("o is not null").select("o.*")
+    texts = _documents(spark, path).select(F.explode(F.from_json("value", "array<string>")).alias("t")).where(F.col("t").startswith("{"))
+    df = texts.select(F.from_json("t", f"struct<{item}>").alias("o")).where("o is not null").select("o.*")
     return _raw(df, key, F.to_json(F.struct(*df.columns)), retrieved_at)
 
 
@@ -107,8 +108,9 @@ def blocklist(spark: SparkSession, path: str, retrieved_at: str) -> DataFrame:
 
 def object_of_arrays(spark: SparkSession, path: str, item: str, value_field: str, retrieved_at: str) -> DataFrame:
     """``{id: [object, ...]}`` documents: one row per object, keyed by a field of it or the id."""
-    df = _documents(spark, path).select(F.explode(F.from_json("value", f"map<string,array<struct<{item}>>>")).alias("record", "items"))
-    rows = df.select("record", F.explode("items").alias("o")).select("record", "o.*")
+    df = _documents(spark, path).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("record", "items"))
+    texts = df.select("record", F.explode("items").alias("t")).where(F.col("t").startswith("{"))
+    rows = texts.select("record", F.from_json("t", f"struct<{item}>").alias("o")).where("o is not null").select("record", "o.*")
     return _raw(rows, F.coalesce(F.nullif(F.col(value_field), F.lit("")), F.col("record")), F.to_json(F.struct(*rows.columns)), retrieved_at)
 
 
