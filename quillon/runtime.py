@@ -9,13 +9,16 @@ absent (tests, a laptop) a temporary local folder is used, and only there.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _MADE: set[tuple[str, str]] = set()
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "quillon", cpus: str = "*", **extra: str) -> SparkSession:
@@ -107,5 +110,23 @@ def deal(df: DataFrame) -> DataFrame:
     return df.repartition(max(2 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application: their Python workers import it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = os.path.dirname(os.path.abspath(__file__))
+    held = os.path.join(tempfile.mkdtemp(prefix="quillon-ship-"), "quillon.zip")  # on the driver, which serves it
+    with zipfile.ZipFile(held, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    p = os.path.join(folder, f)
+                    z.write(p, os.path.join("quillon", os.path.relpath(p, root)))
+    spark.sparkContext.addPyFile(held)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
