@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm import names as N
 from quillon.llm.components import connected_components
-from quillon.llm.text import fold, sound, unscan
-from quillon.runtime import deal, table
+from quillon.llm.text import fold, sound, spelling, unscan
+from quillon.runtime import deal, drop_table, table
 
 SEP = "\x1f"
 #: Least likeness of two names of one person or organisation.
@@ -47,12 +47,22 @@ def queue_names(queue: DataFrame) -> DataFrame:
     return once.drop("d").join(best, "entity_id").select("entity_id", "person", "name", F.coalesce("d.date", F.lit("")).alias("date"))
 
 
-def frequent_words(folded: DataFrame, person: bool, share: float = 1e-3) -> frozenset[str]:
-    """Words in at least ``share`` and six of the names: at most a few thousand, as a name has few words."""
-    of = folded.where(F.col("person") == person)
-    n = of.count()
-    words = of.select(F.explode(F.array_distinct(F.split(F.regexp_replace("folded", "['.-]", ""), "[^a-z]+"))).alias("w")).where(F.length("w") > 2)
-    return frozenset(r.w for r in words.groupBy("w").count().where(F.col("count") >= max(6, n * share)).select("w").collect())
+def frequent_words(folded: DataFrame, share: float = 1e-3) -> frozenset[str]:
+    """Words that stand beside many different main words, in names ``(folded)``.
+
+    The main word of a name is its longest; a word counts once for each main word
+    other than itself, so a name that is delivered often makes no word frequent.
+    Those with at least six and ``share`` of all main words are at most some
+    thousands, as a name has few words.
+    """
+    ws = F.array_distinct(F.split(F.regexp_replace("folded", "['.-]", ""), "[^a-z]+"))
+    names = folded.select(F.filter(ws, lambda w: F.length(w) > 2).alias("ws")).where(F.size("ws") > 0)
+    main = F.substring(F.array_max(F.transform("ws", lambda w: F.concat(F.lpad(F.length(w).cast("string"), 6, "0"), w))), 7, 1 << 20)
+    pairs = table(names.select(main.alias("main"), F.explode("ws").alias("w")).distinct(), "words")
+    n = pairs.select("main").distinct().count()
+    rows = pairs.where("w != main").groupBy("w").count().where(F.col("count") >= max(6, n * share)).select("w").collect()
+    drop_table(pairs)
+    return frozenset(r.w for r in rows)
 
 
 @lru_cache(100_000)
@@ -70,16 +80,17 @@ def _profile(person: bool, name: str, date: str, given: frozenset[str], common:
 
 
 def _codes(profile: str) -> tuple[str, list[str]]:
-    """The sound of the distinguishing token, and the block codes."""
+    """The sound of the distinguishing token, and the block codes: that sound, and its spelling with one letter left out."""
     kind, main, given, *_ = profile.split(SEP)
-    s = sound(main.replace(" ", ""))
+    word = main.replace(" ", "")
+    s, w = sound(word), spelling(word)
     if kind == "p":
         firsts = {c[0] for c in N._canonical_given(given)} or ({given[0]} if given else {"?"})
         heads = sorted({sound(f) or f for f in firsts})
     else:
         heads = [""]
-    cuts = [s] + ([s[:i] + s[i + 1 :] for i in range(len(s)) if i == 0 or s[i] != s[i - 1]] if len(s) >= 5 else [])
-    return s, [f"{kind}{h}.{c}" for h in heads for c in cuts]
+    cuts = [w, *(w[:i] + w[i + 1 :] for i in range(len(w)) if i == 0 or w[i] != w[i - 1])] if len(w) >= 5 else [w]
+    return s, [f"{kind}{h}.{c}" for h in heads for c in ("!" + s, *cuts)]
 
 
 @lru_cache(50_000)
@@ -129,8 +140,8 @@ def link_names(rows: DataFrame) -> DataFrame:
     folded = table(
         deal(rows.select("entity_id", "person", "name", "date")).mapInArrow(fold_names, "entity_id string, person boolean, folded string, date string"), "folded"
     )
-    given = frequent_words(folded, True)
-    common = frequent_words(folded, False) | N.COMMON
+    given = frequent_words(folded.where("person"))
+    common = frequent_words(folded.where("not person")) | N.COMMON
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,11 +161,11 @@ def link_names(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ps, pa.string()), pa.array(cs, pa.string()), pa.array(ss, pa.string())], ["profile", "code", "s"])
 
     coded = held.select("profile").distinct().mapInArrow(code, "profile string, code string, s string")
-    coded = table(coded.select(F.xxhash64("code").alias("h"), "profile", "s", F.expr("code like '%.' || s").alias("own")), "coded")
-    # equal sounds meet under their own code only, others under the codes with a letter left out
+    coded = table(coded.select(F.xxhash64("code").alias("h"), "profile", "s", F.col("code").contains(".!").alias("own")), "coded")
+    # equal sounds meet under the code of their sound only, others under spellings with a letter left out
     a = coded.select("h", F.col("profile").alias("a"), F.col("s").alias("sa"), F.col("own").alias("oa"))
     b = coded.select("h", F.col("profile").alias("b"), F.col("s").alias("sb"), F.col("own").alias("ob"))
-    pairs = a.join(b, "h").where("a < b and ((sa = sb and oa and ob) or (sa != sb and not (oa and ob)))").select("a", "b")
+    pairs = a.join(b, "h").where("a < b and oa = ob and (sa = sb) = oa").select("a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:

@@ -195,7 +195,7 @@ def _near(w: str, common: frozenset[str], least: int) -> bool:
 
 @lru_cache(200_000)
 def _near_common(w: str, common: frozenset[str]) -> bool:
-    return _near(w, common, 5)
+    return _near(w, common, 4)
 
 
 @lru_cache(200_000)
@@ -288,7 +288,7 @@ Person = tuple[str, tuple[str, ...], str, str]
 
 @lru_cache(200_000)
 def _near_given(w: str, common: frozenset[str]) -> bool:
-    return _near(w, common, 3)
+    return _near(w, common, 3) or "rn" in w and _near(w.replace("rn", "m"), common, 3)
 
 
 GIVEN = frozenset(x for g, n in NICKNAMES.items() for x in (g, *n.split()))
@@ -327,7 +327,7 @@ def parse_person(name: str | None, common: frozenset[str] = GIVEN) -> Person | N
         return None
     if len(ws) == 1:
         return "", (), ws[0], gen
-    kind = ["i" if len(w) == 1 else "c" if w in common or w in GIVEN else "n" if _near_given(w, common) else "u" for w in ws]
+    kind = ["i" if len(w) == 1 else "c" if w in common or w in GIVEN or _canonical_given(w) else "n" if _near_given(w, common) else "u" for w in ws]
     if "u" not in kind:
         k = max((i for i, x in enumerate(kind) if x != "i"), key=lambda i: (kind[i] == "n", len(ws[i]), i), default=len(ws) - 1)
         kind[k] = "u"

@@ -108,6 +108,17 @@ def sound(word: str) -> str:
     return _TWICE.sub(r"\1", word)
 
 
+_SPELL = tuple(p for p in _SOUND if p[0] not in ("rn", "h"))
+
+
+def spelling(word: str) -> str:
+    """A key like :func:`sound` that keeps every slip of one letter a slip of one letter."""
+    for a, b in _SPELL:
+        if a in word:
+            word = word.replace(a, b)
+    return word
+
+
 def jaro_winkler(a: str, b: str) -> float:
     """Jaro-Winkler similarity with the prefix weight 0.1 over at most four letters."""
     if a == b:
