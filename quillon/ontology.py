@@ -101,6 +101,14 @@ def link_label(schema: Column, prop: Column) -> Column:
     return out
 
 
+def entity_typed(schema: Column, prop: Column) -> Column:
+    """Whether the values of a property are ids of entities: links of nodes, and both ends of edges."""
+    out = link_label(schema, prop).isNotNull()
+    for s, (source, target, _) in EDGES.items():
+        out = out | ((schema == s) & prop.isin(source, target))
+    return F.coalesce(out, F.lit(False))
+
+
 def common_of(schemata: Column) -> Column:
     """The common schema of a sorted array of schemata; the first stays where no schema is common."""
     pairs = [(a, b, c) for a, *_ in SCHEMATA for b, *_ in SCHEMATA if (c := common_schema(a, b)) and c != a]

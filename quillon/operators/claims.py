@@ -49,18 +49,24 @@ def context_claims(clusters: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.where(F.col("key").isin(*ANCHORS)).select("canonical_id", "entity_id", "key", F.explode("vs").alias("value"), "dataset", "retrieved_at").distinct()
 
 
-def numbered(new: DataFrame, last: int, *order: str) -> DataFrame:
-    """The rows of one batch with gap-free numbers after ``last``.
+def running_sums(rows: DataFrame, order: list, sums: list[str]) -> DataFrame:
+    """``rows`` with running sums of columns, each in place of its column, in the given order.
 
-    The rows are ranged by the order into parts, numbered in each part, and the
-    parts' sizes added up, so that no single task orders the batch.
+    The rows are ranged by the order into parts, summed up within each part, and
+    the parts' sums added up, so that no single task orders all rows.
     """
-    n = max(2, new.sparkSession.sparkContext.defaultParallelism)
-    placed = table(new.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "batch")
-    sizes = placed.groupBy("_part").count()
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    rank = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return placed.withColumn("_rank", rank).join(before, "_part").withColumn("seq", F.lit(last) + F.col("_before") + F.col("_rank")).drop("_part", "_before", "_rank")
+    n = max(2, rows.sparkSession.sparkContext.defaultParallelism)
+    placed = table(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row a part
+    parts = placed.groupBy("_part").agg(*(F.sum(c).alias("_" + c) for c in sums)).select("_part", *(F.coalesce(F.sum("_" + c).over(before), F.lit(0)).alias("_" + c) for c in sums))
+    own = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = placed.join(parts, "_part").withColumns({c: F.col("_" + c) + F.sum(c).over(own) for c in sums})
+    return out.drop("_part", *("_" + c for c in sums))
+
+
+def numbered(new: DataFrame, last: int, *order: str) -> DataFrame:
+    """The rows of one batch with gap-free numbers after ``last``."""
+    return running_sums(new.withColumn("seq", F.lit(1).cast("long")), list(order), ["seq"]).withColumn("seq", F.col("seq") + last)
 
 
 def alias_map(ledger: DataFrame) -> DataFrame:
@@ -102,7 +108,7 @@ def fold(claims: DataFrame, closure: DataFrame, context: DataFrame | None = None
     Repeated statements count once; the result does not depend on the order of the rows.
     """
     rows = survivors_of(claims.dropDuplicates(["statement_id"]), closure, "canonical_id")
-    target = O.link_label(F.col("schema"), F.col("prop")).isNotNull()
+    target = O.entity_typed(F.col("schema"), F.col("prop"))
     rows = survivors_of(rows.withColumn("_link", target), closure, "value", "moved").withColumn("value", F.when(F.col("_link"), F.col("moved")).otherwise(F.col("value")))
     real = ~F.col("prop").isin("id", EXISTS)
     per_prop = rows.where(real).groupBy("survivor", "prop").agg(F.array_sort(F.collect_set("value")).alias("values"), F.array_sort(F.collect_set("dataset")).alias("sources"))
@@ -143,7 +149,7 @@ def incomplete_survivors(closure: DataFrame, claims: DataFrame) -> DataFrame:
 def rewrite_referents(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """Entity-typed values moved to their canonical ids; ``aliases`` is ``(alias, survivor)``."""
     flat = entities.select("id", "schema", F.explode_outer("props").alias("prop", "vs")).select("id", "schema", "prop", F.posexplode_outer("vs").alias("k", "value"))
-    moved = survivors_of(flat.withColumn("_link", O.link_label(F.col("schema"), F.col("prop")).isNotNull()), aliases, "value", "m")
+    moved = survivors_of(flat.withColumn("_link", O.entity_typed(F.col("schema"), F.col("prop"))), aliases, "value", "m")
     v = F.when(F.col("_link"), F.col("m")).otherwise(F.col("value"))
     per = moved.withColumn("v", v).where("prop is not null").groupBy("id", "prop").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"])).alias("vs"))
     props = per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("prop", "vs"))).alias("p"))
@@ -252,3 +258,27 @@ def backfill(queue: DataFrame, statements_: DataFrame, erased: DataFrame, parsed
         F.when(F.col("gone"), "erased").when(F.col("entity_id").isNull(), "unparseable").when(F.col("redacted"), "redacted").when(F.col("there"), "present").otherwise("kept")
     )
     return rows.select("item", fate.alias("disposition"))
+
+
+def erased_sources(runs: DataFrame) -> DataFrame:
+    """Sources of good erasure runs, each once."""
+    s = runs.where((F.col("kind") == "erase") & (F.col("status") == "ok")).select(F.get_json_object("stats", "$.source_id").alias("source"))
+    return s.where("source is not null").distinct()
+
+
+def load_members(ids: DataFrame, queue: DataFrame) -> DataFrame:
+    """Queue rows of a cluster's members ``(source_ids)`` in their order; missing ones are left out."""
+    pos = ids.select(F.posexplode("source_ids").alias("pos", "entity_id"))
+    return pos.join(queue, "entity_id").orderBy("pos")
+
+
+def outbound(claims: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges that leave members ``(id)``: claims of link properties."""
+    links = claims.where(O.entity_typed(F.col("schema"), F.col("prop")))
+    return links.join(members.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("entity_id", "prop", "value").distinct()
+
+
+def batches(queue: DataFrame, size: int = 1000) -> DataFrame:
+    """Waiting rows with the number of their micro-batch, oldest first."""
+    rows = queue.where(F.col("status") == "pending").withColumn("seq", F.lit(1).cast("long"))
+    return running_sums(rows, ["created_at", "id"], ["seq"]).withColumn("batch", F.floor((F.col("seq") - 1) / size)).drop("seq")

@@ -119,7 +119,7 @@ def merge_entities(clusters: DataFrame, entities: DataFrame) -> DataFrame:
     """Clusters as entities: the union of values and datasets, the common schema, the first member's provenance.
 
     Members are taken in id order; one without a schema in common with those
-    before it stays an entity of its own, and the rest gets the id of what was merged.
+    before it stays an entity of its own, and the rest gets a new id of what was merged.
     """
     m = clusters.select("canonical_id", F.col("member_id").alias("id")).join(entities, "id")
     order = m.groupBy("canonical_id").agg(F.array_sort(F.collect_list(F.struct("id", "schema"))).alias("ms"))
@@ -130,9 +130,9 @@ def merge_entities(clusters: DataFrame, entities: DataFrame) -> DataFrame:
         (acc["schema"] == x["schema"]) | F.try_element_at(common, F.concat_ws("|", acc["schema"], x["schema"])).isNotNull(),
         F.struct(F.coalesce(F.try_element_at(common, F.concat_ws("|", acc["schema"], x["schema"])), acc["schema"]).alias("schema"), F.array_append(acc["kept"], x["id"]).alias("kept")),
     ).otherwise(acc))
-    k = order.select("canonical_id", kept.alias("k")).select("canonical_id", F.col("k.schema").alias("merged_schema"), F.col("k.kept").alias("kept"))
+    k = order.select("canonical_id", kept.alias("k"), F.size("ms").alias("n")).select("canonical_id", F.col("k.schema").alias("merged_schema"), F.col("k.kept").alias("kept"), "n")
     j = m.join(k, "canonical_id").withColumn("in", F.array_contains("kept", F.col("id")))
-    j = j.withColumn("new_id", F.when(F.col("in"), canonical_id(F.col("kept"))).otherwise(F.col("id"))).withColumn("new_schema", F.when(F.col("in"), F.col("merged_schema")).otherwise(F.col("schema")))
+    j = j.withColumn("new_id", F.when(~F.col("in"), F.col("id")).when(F.size("kept") == F.col("n"), F.col("canonical_id")).otherwise(canonical_id(F.col("kept")))).withColumn("new_schema", F.when(F.col("in"), F.col("merged_schema")).otherwise(F.col("schema")))
     values = j.select("new_id", F.explode("props").alias("prop", "vs")).select("new_id", "prop", F.explode("vs").alias("v")).groupBy("new_id", "prop").agg(F.array_sort(F.collect_set("v")).alias("vs"))
     props = values.groupBy("new_id").agg(F.map_from_entries(F.collect_list(F.struct("prop", "vs"))).alias("props"))
     heads = j.groupBy("new_id").agg(

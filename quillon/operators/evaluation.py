@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import harmonic_mean, phi4
+from quillon.operators.claims import running_sums
 from quillon.operators.clustering import components
 
 #: External ids that are unique by themselves, and those unique within a jurisdiction.
@@ -114,12 +115,12 @@ def floor(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def precision_recall(pairs: DataFrame) -> DataFrame:
-    """``(threshold, tp, fp, fn)`` at each probability that occurs, ``>=``: counted per probability first, so only those are ordered."""
+    """``(threshold, tp, fp, fn)`` at each probability that occurs, ``>=``: running sums over the counts per probability."""
     true = F.col("label") == "match"
-    per = pairs.groupBy(F.col("probability").alias("threshold")).agg(F.count_if(true).alias("t"), F.count_if(~true).alias("f"))
-    w = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy()
-    return per.select("threshold", F.sum("t").over(w).alias("tp"), F.sum("f").over(w).alias("fp"), (F.sum("t").over(every) - F.sum("t").over(w)).alias("fn"))
+    per = pairs.groupBy(F.col("probability").alias("threshold")).agg(F.count_if(true).alias("tp"), F.count_if(~true).alias("fp"))
+    run = running_sums(per, [F.desc("threshold")], ["tp", "fp"])
+    every = pairs.agg(F.count_if(true).alias("all")).withColumn("k", F.lit(1))  # one row
+    return run.withColumn("k", F.lit(1)).join(F.broadcast(every), "k").select("threshold", "tp", "fp", (F.col("all") - F.col("tp")).alias("fn"))
 
 
 def recommended_threshold(table: DataFrame, false_merge: float = 10.0, false_split: float = 1.0) -> DataFrame:
