@@ -8,7 +8,7 @@ separates article from boilerplate.
 The classifier is a logistic regression over the line's form, its place in the
 page, words that pages use about themselves, and how many hosts carry the same
 line.  It is fitted to lines whose label the form makes all but certain, on a
-bounded sample of pages (``SAMPLE`` pages); the counts of lines are taken over
+bounded sample of pages (about ``SAMPLE`` pages); the counts of lines are taken over
 all pages.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillon.runtime import deal, table
 
-#: Pages that the classifier is fitted on at most.
+#: Pages that the classifier is fitted on, give or take the chance of a hash.
 SAMPLE = 4000
 # What pages say about themselves, in English, German, French and Spanish; whole lines, lower case, numbers as #.
 END = r"""
@@ -370,7 +370,8 @@ def boilerplate_lines(pages: DataFrame, id_col: str = "entity_id", url_col: str
                 yield pa.RecordBatch.from_arrays([pa.array([p.t[p.named]]), pa.array([[p.t[i] for i in range(p.named + 1, p.n) if p.plain[i]]], pa.list_(pa.string()))], ["title", "prose"])
 
     fields = ["page", "url", "text", "hosts"]
-    chosen = table(ready.select(*fields).orderBy(F.xxhash64("page")).limit(sample), "sample")
+    part = min(1.0, sample / max(1, ready.count()))  # pages by the hash of their hash, so that no rows are ordered for it
+    chosen = table(ready.select(*fields).where(F.pmod(F.xxhash64(F.lit(3), "page"), F.lit(1_000_000)) < part * 1_000_000), "sample")
     t = chosen.mapInArrow(headings, "title string, prose array<string>").toArrow()
     titles = learn_titles(t.column("title").to_pylist(), [p for ps in t.column("prose").to_pylist() for p in ps])
 
