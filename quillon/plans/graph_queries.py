@@ -77,7 +77,7 @@ QUERIES = {
     "neighbors_4hop": (lambda s, d: _named(G.neighbors(A.nodes(s, d), A.edges(s, d), START, 9, None)), _hops(4)),
     "neighbors_capped": (lambda s, d: _named(G.neighbors(A.nodes(s, d), A.edges(s, d), START, 2, 20)), f"SELECT * FROM ({_hops(2)}) ORDER BY id LIMIT 20"),
     "shortest_path": (
-        lambda s, d: G.shortest_path(A.edges(s, d, False), "customer:1", START).select(F.size("types").alias("steps"), F.array_join("ids", " ").alias("path")),
+        lambda s, d: G.shortest_path(A.edges(s, d, False), "customer:1", START).select(F.size("types").cast("long").alias("steps"), F.array_join("ids", " ").alias("path")),
         f"""WITH {N}, {E}, {B}, p1 AS (SELECT dst AS id, ['customer:1', dst] AS ids FROM both_ways WHERE src = 'customer:1' AND type <> 'PLACED_BY'),
         p2 AS (SELECT b.dst AS id, list_append(ids, b.dst) AS ids FROM p1 JOIN both_ways b ON b.src = p1.id AND b.type <> 'PLACED_BY'),
         p3 AS (SELECT b.dst AS id, list_append(ids, b.dst) AS ids FROM p2 JOIN both_ways b ON b.src = p2.id AND b.type <> 'PLACED_BY' WHERE b.dst NOT LIKE 'customer:%'),
@@ -91,7 +91,7 @@ QUERIES = {
         SELECT 'supplier:' || s_suppkey AS id, near.id IS NOT NULL AS flagged FROM supplier LEFT JOIN near ON near.id = 'supplier:' || s_suppkey""",
     ),
     "dossier": (
-        lambda s, d: G.dossier(A.nodes(s, d), A.edges(s, d), "nation:4", 1).select("id", F.size("neighbors").alias("near"), "merge_history"),
+        lambda s, d: G.dossier(A.nodes(s, d), A.edges(s, d), "nation:4", 1).select("id", F.size("neighbors").cast("long").alias("near"), "merge_history"),
         f"WITH {N}, {E}, {B} SELECT 'nation:4' AS id, least(500, count(DISTINCT dst)) AS near, 'unavailable' AS merge_history FROM both_ways WHERE src = 'nation:4'",
     ),
     "summarize_sample": (

@@ -108,7 +108,7 @@ QUERIES = {
         "SELECT canonical_id, id, decision FROM (SELECT *, row_number() OVER (PARTITION BY canonical_id ORDER BY created_at DESC, id DESC) AS k FROM merge_audit) WHERE k = 1",
     ),
     "evidence_diff": (
-        lambda s, d: C.evidence_diff(A.entities(s, d).where("schema = 'Vessel'")).select("prop", "agrees", F.size("values").alias("n")),
+        lambda s, d: C.evidence_diff(A.entities(s, d).where("schema = 'Vessel'")).select("prop", "agrees", F.size("values").cast("long").alias("n")),
         """WITH e AS (SELECT id, unnest(map_entries(properties)) AS e FROM ftm_entity WHERE schema_name = 'Vessel') SELECT e.key AS prop, count(DISTINCT array_to_string(list_sort(e.value), '; ')) <= 1 AS agrees, count(DISTINCT array_to_string(list_sort(e.value), '; ')) AS n FROM e WHERE len(e.value) > 0 GROUP BY e.key""",
     ),
     "divergence": (

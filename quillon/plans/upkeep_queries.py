@@ -85,7 +85,7 @@ QUERIES = {
         """WITH n AS (SELECT entity_id AS id, nullif(last_error, '') AS title, raw_pointer FROM article_text ORDER BY created_at DESC NULLS FIRST, entity_id LIMIT 100) SELECT id FROM n WHERE title IS NOT NULL AND raw_pointer IS NOT NULL""",
     ),
     "article_bodies": (
-        lambda s, d: U.body(read(s, d, "article_text").select(F.col("entity_id").alias("id")), read(s, d, "article_text"), 200).select("id", F.length("body").alias("n")),
+        lambda s, d: U.body(read(s, d, "article_text").select(F.col("entity_id").alias("id")), read(s, d, "article_text"), 200).select("id", F.length("body").cast("long").alias("n")),
         "SELECT entity_id AS id, length(nullif(trim(text[1:200], ' '), '')) AS n FROM article_text",
     ),
     "dedup_enqueue": (
