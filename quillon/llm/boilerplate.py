@@ -157,19 +157,19 @@ class Page:
             not s and (len(re.findall(r"[|•·›/»>]|  +", x.strip())) >= 2 and bool(_SEPARATED.match(x.strip())) or y.startswith("* "))
             for x, y, s in zip(lines, t, self.stop)
         ]
-        self.crumb = [False] * n
-        self.named = -1  # the headline, if a breadcrumb ends with it
-        for i in range(n):
-            for j in range(i + 1, min(n, i + 4)):
-                if self.words[i] > self.words[j] > 1 and len(t[j]) > 8 and t[i].endswith(t[j]) and not self.cue[j]:
-                    self.crumb[i] = True
-                    if self.named < 0:
-                        self.named = j
         self.title = [title_score(x, titles) if not c else 0.0 for x, c in zip(t, self.cue)]
         self.prose = [c == 0 and s and w >= 3 and not y and not m for c, s, w, y, m in zip(self.cue, self.stop, self.words, self.list, self.numbered)]
         self.plain = [p and w >= 5 and x < 0 if titles else p and w >= 8 for p, w, x in zip(self.prose, self.words, self.title)]
         self.first = next((i for i in range(n) if self.plain[i]), n)
         self.last = max((i for i in range(n) if self.plain[i]), default=-1)
+        self.crumb = [False] * n
+        self.named = -1  # the headline, if a breadcrumb before the article ends with it
+        for i in range(min(self.first, n)):
+            for j in range(i + 1, min(self.first + 1, n, i + 4)):
+                if not self.cue[i] and not self.cue[j] and self.words[i] > self.words[j] > 1 and len(t[j]) > 8 and t[i].endswith(t[j]):
+                    self.crumb[i] = True
+                    if self.named < 0:
+                        self.named = j
         # up to two lines that say nothing of the page, as a last list item
         for _ in range(2):
             i = self.last + 1
