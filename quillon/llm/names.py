@@ -190,7 +190,8 @@ def _near(w: str, common: frozenset[str], least: int) -> bool:
         for c in index.get(k, ()):
             if len(c) >= least and edits(w, c, 1) <= 1:
                 return True
-    return len(w) > 5 and any(abs(len(w) - len(c)) <= 2 and edits(w, c, 2) <= 2 for c in long.get(w[0], ()))
+    # two slips in a long word leave its beginning or its end
+    return len(w) > 5 and any(abs(len(w) - len(c)) <= 2 and (w[:3] == c[:3] or w[-3:] == c[-3:]) and edits(w, c, 2) <= 2 for c in long.get(w[0], ()))
 
 
 @lru_cache(200_000)
