@@ -161,11 +161,12 @@ def link_names(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ps, pa.string()), pa.array(cs, pa.string()), pa.array(ss, pa.string())], ["profile", "code", "s"])
 
     coded = held.select("profile").distinct().mapInArrow(code, "profile string, code string, s string")
-    coded = table(coded.select(F.xxhash64("code").alias("h"), "profile", "s", F.col("code").contains(".!").alias("own")), "coded")
+    own = F.col("code").contains(".!").alias("own")
+    coded = table(coded.select(F.xxhash64("code").alias("h"), "profile", F.xxhash64("s").alias("s"), own), "coded")
     # equal sounds meet under the code of their sound only, others under spellings with a letter left out
-    a = coded.select("h", F.col("profile").alias("a"), F.col("s").alias("sa"), F.col("own").alias("oa"))
-    b = coded.select("h", F.col("profile").alias("b"), F.col("s").alias("sb"), F.col("own").alias("ob"))
-    pairs = a.join(b, "h").where("a < b and oa = ob and (sa = sb) = oa").select("a", "b")
+    a = coded.select("h", F.col("profile").alias("a"), F.col("s").alias("sa"), "own")
+    b = coded.select("h", F.col("profile").alias("b"), F.col("s").alias("sb"))
+    pairs = a.join(b, "h").where("a < b and (sa = sb) = own").select("a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
