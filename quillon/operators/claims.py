@@ -78,21 +78,28 @@ def alias_map(ledger: DataFrame) -> DataFrame:
 def alias_closure(aliases: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``(alias, survivor)`` by pointer jumping: each round doubles the length of the chains that are followed.
 
-    On a cycle every id of it ends at the smallest of the cycle.
+    On a cycle of any length every id of it, and every id that leads into it, ends at the smallest of the cycle.
     """
-    now = table(aliases.select("alias", "target").where(F.col("alias") != F.col("target")).distinct(), "alias")
-    for _ in range(max_rounds):
-        nxt = now.select(F.col("alias").alias("target"), F.col("target").alias("further"))
-        step = now.join(nxt, "target", "left")
-        moved = table(step.select(
-            "alias", F.when(F.col("further").isNull(), F.col("target")).when(F.col("further") == F.col("alias"), F.least("alias", "target")).otherwise(F.col("further")).alias("target")
+    start = table(aliases.select("alias", "target").where(F.col("alias") != F.col("target")).distinct(), "alias")
+    # low is the smallest id passed so far; an id that has passed itself and nothing smaller is the smallest of its cycle
+    now, cut = start.withColumn("low", F.col("target")), False
+    for _ in range(2 * max_rounds):
+        nxt = now.select(F.col("alias").alias("target"), F.col("target").alias("further"), F.col("low").alias("beyond"))
+        moved = table(now.join(nxt, "target", "left").select(
+            "alias", F.coalesce("further", "target").alias("target"), F.least("low", "beyond").alias("low"),
+            F.col("further").isNotNull().alias("moves"), F.coalesce(F.col("beyond") < F.col("low"), F.lit(False)).alias("falls"),
         ), "alias")
-        changed = moved.join(now, ["alias", "target"], "left_anti").where("alias != target").isEmpty()
-        moved = moved.where("alias != target")
-        if changed:
-            drop_table(now)
+        drop_table(now)
+        if moved.where("moves").isEmpty():
+            drop_table(start)
             return moved.select("alias", F.col("target").alias("survivor"))
-        now = table(moved, "alias")
+        now = moved
+        # once nothing falls any more, every cycle has been gone round: its smallest id becomes a survivor
+        if not cut and moved.where("falls").isEmpty():
+            cut, ends = True, moved.where("alias = low").select("alias").distinct()
+            if not ends.isEmpty():
+                now = table(start.join(ends, "alias", "left_anti").withColumn("low", F.col("target")), "alias")
+                drop_table(moved)
     raise RuntimeError("alias chains are longer than expected")
 
 

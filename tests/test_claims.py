@@ -68,6 +68,26 @@ def test_alias_closure(spark):
     assert C.alias_closure(spark.createDataFrame([], "alias string, target string")).count() == 0
 
 
+def test_alias_closure_of_long_cycles(spark):
+    rng = random.Random(3)
+    rows = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("e", "f"), ("f", "g"), ("g", "d")]  # cycles of 3 and 4
+    rows += [("t2", "t1"), ("t1", "x3"), ("x1", "x2"), ("x2", "x3"), ("x3", "x1")]  # one with a tail
+    rows += [(f"k{i:02d}", f"k{i + 1:02d}") for i in range(30)] + [("k30", "k21")]  # a long tail of smaller ids
+    rows += [(f"r{i:03d}", f"r{rng.randrange(120):03d}") for i in range(100)]
+    after, want = {a: b for a, b in rows if a != b}, {}
+    for a in after:
+        seen, at = [], a
+        while at in after and at not in seen:
+            seen.append(at)
+            at = after[at]
+        end = min(seen[seen.index(at) :]) if at in seen else at
+        if a != end:
+            want[a] = end
+    got = sorted((r.alias, r.survivor) for r in C.alias_closure(spark.createDataFrame(rows, "alias string, target string")).collect())
+    assert got == sorted(want.items())
+    assert want["b"] == want["c"] == "a" and want["g"] == "d" and want["t2"] == "x1" and want["k00"] == "k21"
+
+
 def entity(i, schema="Company", props=None, source="s:a", anchors=None):
     return (i, schema, props or {}, [source], (source, "2024", "A", f"s3://{i}"), anchors or {})
 
