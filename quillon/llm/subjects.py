@@ -89,7 +89,7 @@ def language_of(text: str | None) -> int:
         if len(r.findall(t)) * (3 if i == 2 else 1) > letters * 0.45:
             return len(FUNCTION_WORDS) + i
     n = [0] * len(FUNCTION_WORDS)
-    for w in _WORD.findall(fold(t[:4000])):
+    for w in _WORD.findall(fold(t)):
         if w in _LATIN:
             n[_LATIN[w]] += 1
     return int(np.argmax(n))

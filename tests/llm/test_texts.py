@@ -53,6 +53,12 @@ def test_sentences():
     assert S.language_of("der Hafen und die Stadt") == 1 and S.language_of("порт и город") == 6 and S.language_of(None) == 0
 
 
+def test_language_of_a_text_with_a_long_beginning():
+    german = "Der Hafen und die Stadt sind nicht mit dem Schiff verbunden. " * 20
+    assert S.language_of("0x3f2a == 1;\n" * 400 + german) == 1
+    assert S.language_of("The harbour was not for the town. " * 5 + "lorem " * 1000 + german) == 1
+
+
 def test_subjects(spark):
     rng = random.Random(2)
     words = {
