@@ -2,9 +2,11 @@
 
 Names are folded, parsed and compared as in :mod:`quillon.llm.names`.  A
 profile is a distinct parsed name with its date; equal profiles are one row
-however often they are delivered.  Blocks are phonetic codes of the sorted
-tokens: the code of the distinguishing token with the initial of the other, and
-the codes with one letter left out, so that a slip keeps a code in common.
+however often they are delivered.  Blocks are phonetic codes of the tokens: the
+sound of the distinguishing token, and its spelling with one letter left out,
+find the distinguishing tokens that are at most a slip apart; profiles with such
+tokens meet if their years can be one or, where a date is missing, if their
+given names share a letter.  Names two slips apart meet under an equal day.
 Accepted pairs and the ids of the profiles are clustered by connected components.
 """
 
@@ -18,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import names as N
+from quillon.llm.blocks import group_pairs, split_join
 from quillon.llm.components import connected_components
-from quillon.llm.text import fold, sound, spelling, unscan
+from quillon.llm.text import fold, sound, unscan
 from quillon.runtime import deal, drop_table, table
 
 SEP = "\x1f"
@@ -36,33 +39,34 @@ def queue_names(queue: DataFrame) -> DataFrame:
         "entity_id", F.from_json("raw_entity", PAYLOAD).alias("p")
     )
     none = F.array().cast("array<string>")
+    values = lambda *fs: F.concat(*(F.coalesce(f"p.properties.{f}", none) for f in fs))
+    told = F.transform(F.filter(values("birthDate", "incorporationDate"), lambda d: d.rlike("[1-9]")), lambda d: F.named_struct(F.lit("n"), F.length(d), F.lit("date"), d))
     rows = p.where(F.col("p.properties").isNotNull()).select(
-        "entity_id", (F.col("p.schema") == "Person").alias("person"),
-        F.explode(F.concat(F.coalesce("p.properties.name", none), F.coalesce("p.properties.alias", none))).alias("name"),
-        F.coalesce(F.get("p.properties.birthDate", F.lit(0)), F.get("p.properties.incorporationDate", F.lit(0))).alias("date"),
+        "entity_id", (F.col("p.schema") == "Person").alias("person"), F.explode(values("name", "alias")).alias("name"), F.array_max(told).alias("d"),
     ).where(F.col("person").isNotNull() & F.col("name").isNotNull() & (F.trim("name") != ""))
-    told = F.when(F.col("date").rlike("[1-9]"), F.struct(F.length("date").alias("n"), "date"))
-    once = rows.groupBy("entity_id", "person", "name").agg(F.max(told).alias("d"))
+    once = rows.groupBy("entity_id", "person", "name").agg(F.max("d").alias("d"))
     best = once.groupBy("entity_id").agg(F.max("d").alias("d"))
     return once.drop("d").join(best, "entity_id").select("entity_id", "person", "name", F.coalesce("d.date", F.lit("")).alias("date"))
 
 
-def frequent_words(folded: DataFrame, share: float = 1e-3) -> frozenset[str]:
-    """Words that stand beside many different main words, in names ``(folded)``.
+def frequent_words(folded: DataFrame, share: float = 1e-3) -> dict[bool, frozenset[str]]:
+    """Words that stand beside many different main words, in names ``(person, folded)``, of persons and of others.
 
     The main word of a name is its longest; a word counts once for each main word
     other than itself, so a name that is delivered often makes no word frequent.
-    Those with at least six and ``share`` of all main words are at most some
-    thousands, as a name has few words.
+    Those whose count is at least ``share`` of all main words, less two standard
+    errors of the count, are at most some thousands, as a name has few words.
     """
     ws = F.array_distinct(F.split(F.regexp_replace("folded", "['.-]", ""), "[^a-z]+"))
-    names = folded.select(F.filter(ws, lambda w: F.length(w) > 2).alias("ws")).where(F.size("ws") > 0)
+    names = folded.select("person", F.filter(ws, lambda w: F.length(w) > 2).alias("ws")).where(F.size("ws") > 0)
     main = F.substring(F.array_max(F.transform("ws", lambda w: F.concat(F.lpad(F.length(w).cast("string"), 6, "0"), w))), 7, 1 << 20)
-    pairs = table(names.select(main.alias("main"), F.explode("ws").alias("w")).distinct(), "words")
-    n = pairs.select("main").distinct().count()
-    rows = pairs.where("w != main").groupBy("w").count().where(F.col("count") >= max(6, n * share)).select("w").collect()
+    pairs = table(names.select("person", main.alias("main"), F.explode("ws").alias("w")).distinct(), "words")
+    totals = {r.person: r.n for r in pairs.where("w = main").groupBy("person").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    least = F.when(F.col("person"), F.lit(share * totals.get(True, 0))).otherwise(F.lit(share * totals.get(False, 0)))
+    n = pairs.where("w != main").groupBy("person", "w").count()
+    rows = n.where(F.col("count") - 2 * F.sqrt("count") >= least).where("count > 4").select("person", "w").collect()
     drop_table(pairs)
-    return frozenset(r.w for r in rows)
+    return {k: frozenset(r.w for r in rows if r.person == k) for k in (True, False)}
 
 
 @lru_cache(100_000)
@@ -79,18 +83,61 @@ def _profile(person: bool, name: str, date: str, given: frozenset[str], common:
     return y and SEP.join(("o", y[0], "", " ".join(y[1]), y[2], date))
 
 
-def _codes(profile: str) -> tuple[str, list[str]]:
-    """The sound of the distinguishing token, and the block codes: that sound, and its spelling with one letter left out."""
-    kind, main, given, *_ = profile.split(SEP)
-    word = main.replace(" ", "")
-    s, w = sound(word), spelling(word)
-    if kind == "p":
-        firsts = {c[0] for c in N._canonical_given(given)} or ({given[0]} if given else {"?"})
-        heads = sorted({sound(f) or f for f in firsts})
-    else:
-        heads = [""]
-    cuts = [w, *(w[:i] + w[i + 1 :] for i in range(len(w)) if i == 0 or w[i] != w[i - 1])] if len(w) >= 5 else [w]
-    return s, [f"{kind}{h}.{c}" for h in heads for c in ("!" + s, *cuts)]
+def stem_codes(stem: str) -> list[str]:
+    """A distinguishing token and its sound, each with up to one letter left out: tokens one slip apart by either have one in common."""
+    s = sound(stem.replace(" ", ""))
+    return sorted(N.cuts(stem, 1) | N.cuts(s, 1)) if len(s) >= 4 else sorted({stem, s})
+
+
+def near_stems(stems: DataFrame) -> DataFrame:
+    """``(kind, a, b)``, both ways round and each with itself: the stems of ``(kind, stem)`` of which :func:`names.same_stem` finds at most one slip."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = [stem_codes(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.list_(pa.string()))], ["kind", "stem", "codes"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            good = [N.same_stem(x, y) not in (0.0, N.TWO_SLIPS) for x, y in zip(t.column(1).to_pylist(), t.column(2).to_pylist())]
+            yield t.filter(pa.array(good, pa.bool_()))
+
+    once = table(stems.distinct(), "stems")
+    coded = once.mapInArrow(code, "kind string, stem string, codes array<string>").select("kind", "stem", F.explode("codes").alias("c"))
+    coded = table(coded.select(F.xxhash64("kind", "c").alias("h"), "kind", F.col("stem").alias("a")), "codes")
+    pairs = split_join(coded, coded.select("h", F.col("a").alias("b")), ["h"], alike=True).where("a < b").select("kind", "a", "b").distinct()
+    near = table(pairs.mapInArrow(check, "kind string, a string, b string"), "near")
+    drop_table(coded)
+    return near.unionByName(near.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(once.select("kind", F.col("stem").alias("a"), F.col("stem").alias("b")))
+
+
+def heads(given: str) -> list[str]:
+    """Letters of a given name of which two names that :func:`names.same_given` takes for one share at least one."""
+    if not given:
+        return ["?"]
+    firsts = {given[0], *(c[0] for c in N._canonical_given(given))}
+    out = {sound(f) or f for f in firsts} | {sound(given)[:1] or given[0]}
+    return sorted(out | ({"2" + given[1:2]} if len(given) > 3 else set()))
+
+
+def meetings(profile: str) -> list[tuple[str, str, int]]:
+    """``(stem, place, role)`` under which a profile meets others; those of one role 1 do not meet each other.
+
+    Dated profiles meet by their year (its digits sorted, as a slip may swap
+    them); one without a date meets all that share a letter of the given name;
+    under a full date, stems may be two slips apart.
+    """
+    kind, stem, given, _, _, date = profile.split(SEP)
+    dates = _dates(date)
+    by_letter = heads(given) if kind == "p" else [""]
+    out = [(stem, f"u{h}", int(bool(dates))) for h in by_letter]
+    out += [(stem, "y" + "".join(sorted(str(d[0]))), 0) for d in dates[:1]]
+    return out
+
+
+def days(profile: str) -> list[str]:
+    """Full dates of a profile whose stem is long enough for two slips, day and month in either order."""
+    kind, stem, _, _, _, date = profile.split(SEP)
+    return [f"{kind}{y}-{min(m, d)}-{max(m, d)}" for y, m, d in _dates(date)[:1] if d and len(sound(stem.replace(" ", ""))) >= 9]
 
 
 @lru_cache(50_000)
@@ -101,7 +148,10 @@ def _parts(profile: str):
 
 
 def likeness(a: str, b: str) -> tuple[float, int]:
-    """Likeness of two profiles and how their dates compare; 0 if they cannot be one."""
+    """Likeness of two profiles and how their dates compare; 0 if they cannot be one.
+
+    A distinguishing token with two slips, and a person without a given name, need an equal date.
+    """
     ka, xa, da = _parts(a)
     kb, xb, db = _parts(b)
     if ka != kb:
@@ -111,7 +161,12 @@ def likeness(a: str, b: str) -> tuple[float, int]:
         when = 1
     if when < 0:
         return 0.0, when
+    stem = 2 if ka == "p" else 0
+    if when < 3 and N.same_stem(xa[stem], xb[stem]) == N.TWO_SLIPS:
+        return 0.0, when
     if ka == "p":
+        if when < 2 and bool(xa[0]) != bool(xb[0]):
+            return 0.0, when
         s = N.compare_persons(xa, xb)
         if xa[3] != xb[3] and when <= 0:
             return 0.0, when  # father and son, unless the dates say otherwise
@@ -122,8 +177,32 @@ def likeness(a: str, b: str) -> tuple[float, int]:
     return (min(1.0, s * 1.1) if when >= 2 else s), when
 
 
-def link_names(rows: DataFrame) -> DataFrame:
-    """``(left_id, right_id)``, smaller first: pairs of ids that name the same person or organisation.
+def candidate_pairs(profiles: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: the pairs of distinct ``(profile)`` that meet in a block, each once."""
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            ps, rows, ds = t.column(0).to_pylist(), [], []
+            for i, p in enumerate(ps):
+                rows += [(i, *m) for m in meetings(p)]
+                ds += [(i, "", "d" + d, 2) for d in days(p)]
+            rows += ds
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ps[r[0]] for r in rows], pa.string()), pa.array([ps[r[0]][0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
+                 pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int32())], ["profile", "kind", "stem", "place", "role"])
+
+    placed = table(profiles.mapInArrow(meet, "profile string, kind string, stem string, place string, role int"), "placed")
+    near = near_stems(placed.where("role < 2").select("kind", "stem").distinct())
+    own = placed.where("role < 2")
+    a = split_join(own.select("kind", "stem", "place", "role", F.col("profile").alias("a")), near.select("kind", F.col("a").alias("stem"), "b"), ["kind", "stem"])
+    b = own.select("kind", F.col("stem").alias("b_stem"), "place", F.col("role").alias("r"), F.col("profile").alias("b"))
+    by_stem = split_join(a.select("kind", F.col("b").alias("b_stem"), "place", "role", "a"), b, ["kind", "b_stem", "place"]).where("a < b and not (role = 1 and r = 1)")
+    d = placed.where("role = 2").select("place", F.col("profile").alias("a"))
+    by_day = split_join(d, d.withColumnRenamed("a", "b"), ["place"], alike=True).where("a < b")
+    return by_stem.select("a", "b").unionByName(by_day.select("a", "b")).distinct()
+
+
+def name_groups(rows: DataFrame) -> DataFrame:
+    """``(entity_id, group)``: ids of one group name the same person or organisation; an id is in one group only.
 
     ``rows`` is ``(entity_id, person, name, date)``.  Persons whose birth years
     differ are apart even if spelled alike, as are generations (junior) of which
@@ -140,8 +219,8 @@ def link_names(rows: DataFrame) -> DataFrame:
     folded = table(
         deal(rows.select("entity_id", "person", "name", "date")).mapInArrow(fold_names, "entity_id string, person boolean, folded string, date string"), "folded"
     )
-    given = frequent_words(folded.where("person"))
-    common = frequent_words(folded.where("not person")) | N.COMMON
+    frequent = frequent_words(folded)
+    given, common = frequent[True], frequent[False] | N.COMMON
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,44 +228,28 @@ def link_names(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["entity_id", "profile"])
 
     held = table(folded.mapInArrow(parse, "entity_id string, profile string").where("profile is not null").distinct(), "held")
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ps, cs, ss = [], [], []
-            for p in b.column(0).to_pylist():
-                s, codes = _codes(p)
-                ps += [p] * len(codes)
-                cs += codes
-                ss += [s] * len(codes)
-            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.string()), pa.array(cs, pa.string()), pa.array(ss, pa.string())], ["profile", "code", "s"])
-
-    coded = held.select("profile").distinct().mapInArrow(code, "profile string, code string, s string")
-    own = F.col("code").contains(".!").alias("own")
-    coded = table(coded.select(F.xxhash64("code").alias("h"), "profile", F.xxhash64("s").alias("s"), own), "coded")
-    # equal sounds meet under the code of their sound only, others under spellings with a letter left out
-    a = coded.select("h", F.col("profile").alias("a"), F.col("s").alias("sa"), "own")
-    b = coded.select("h", F.col("profile").alias("b"), F.col("s").alias("sb"))
-    pairs = a.join(b, "h").where("a < b and (sa = sb) = own").select("a", "b")
+    drop_table(folded)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            x, y, z, w = [], [], [], []
+            x, y, w = [], [], []
             for p, q in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
                 s, when = likeness(p, q)
                 if s >= LEAST:
                     x.append(p)
                     y.append(q)
-                    z.append(s)
                     w.append(when)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(z, pa.float64()), pa.array(w, pa.int32())], ["a", "b", "score", "w"])
-
-    alike = table(pairs.mapInArrow(compare, "a string, b string, score double, w int").distinct(), "alike")
-    links = _settle(alike)
-    edges = links.unionByName(held.select(F.col("entity_id").alias("a"), F.concat(F.lit("\x1e"), "profile").alias("b")))
-    groups = connected_components(edges, "a", "b").where(~F.col("v").startswith("\x1e")).select("v", "root")
-    groups = table(groups, "groups")
-    left = groups.select("root", F.col("v").alias("left_id"))
-    return left.join(groups.select("root", F.col("v").alias("right_id")), "root").where("left_id < right_id").select("left_id", "right_id")
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(w, pa.int32())], ["a", "b", "w"])
+
+    alike = table(candidate_pairs(held.select("profile").distinct()).mapInArrow(compare, "a string, b string, w int"), "alike")
+    edges = _settle(alike).unionByName(held.select(F.col("entity_id").alias("a"), F.concat(F.lit("\x1e"), "profile").alias("b")))
+    groups = connected_components(edges, "a", "b").where(~F.col("v").startswith("\x1e"))
+    return groups.select(F.col("v").alias("entity_id"), F.col("root").alias("group"))
+
+
+def link_names(rows: DataFrame) -> DataFrame:
+    """``(left_id, right_id)``, smaller first: the pairs of ids of :func:`name_groups`."""
+    return group_pairs(table(name_groups(rows), "groups"), "entity_id", "group")
 
 
 def _settle(alike: DataFrame) -> DataFrame:

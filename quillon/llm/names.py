@@ -30,7 +30,7 @@ NICKNAMES = {
     "elizabeth": "liz beth betty eliza lisa lizzie bess elisabeth isabel libby",
     "eugenia": "genie zhenya gena eugenie jenia evgenia yevgenia eugene evgeniya genia",
     "fatima": "fatma fatemeh fatimah fatema",
-    "francisco": "paco pancho fran frank francis francesco francois franz cisco kiko frankie franco pedro-paco",
+    "francisco": "paco pancho fran frank francis francesco francois franz cisco kiko frankie franco",
     "frederick": "fred freddie freddy fritz frederic federico friedrich frederik rick fredrick",
     "george": "jorge georg giorgio georges yuri jurgen",
     "giuseppe": "peppe pino beppe geppe peppino pepe",
@@ -97,10 +97,9 @@ LEGAL = (
     ("co", "company", "and co", "& co", "and company", "& company"),
 )
 _LEGAL = sorted(((tuple(x.split()), forms[0]) for forms in LEGAL for x in forms), key=lambda p: -len(p[0]))
-# Words of company names that say little.
+# Words of the trades and forms of business, that tell no firm from another; those of a corpus are learned from it.
 COMMON = frozenset(
-    "royal atlas new pan first global prime delta trans blue united north south old red orion central coastal crown second allied continental inter gamma "
-    "apex east west international national general holdings holding group trading services service capital partners brothers industries industrial systems "
+    "international national general holdings holding group trading services service capital partners brothers industries industrial systems "
     "solutions management consulting logistics shipping maritime marine freight forwarding import export investments investment insurance brokerage energy "
     "oil gas petroleum mining metals steel cement construction engineering manufacturing machinery motors aviation railways travel hotels real estate water "
     "works power tools data centers security software electronics robotics optics glass ceramics plastics chemicals pharmaceuticals medical supplies "
@@ -124,17 +123,50 @@ def _words(name: str) -> list[str]:
     return s.split()
 
 
+def _letters(w: str) -> int:
+    """The letters of a word as bits; one slip changes at most two of them."""
+    m = 0
+    for c in w:
+        m |= 1 << (ord(c) & 31)
+    return m
+
+
+@lru_cache(4)
+def _form_words(at: int) -> tuple[dict[str, list[int]], dict[str, list[int]]]:
+    """Legal forms by their first or last word, and those of several words by such a word of more than four letters."""
+    exact: dict[str, list[int]] = {}
+    long: dict[str, list[int]] = {}
+    for i, (form, _) in enumerate(_LEGAL):
+        exact.setdefault(form[at], []).append(i)
+        if len(form) > 1 and len(form[at]) > 4:
+            long.setdefault(form[at], []).append(i)
+    return exact, long
+
+
+@lru_cache(100_000)
+def _forms_at(w: str, at: int) -> tuple[int, ...]:
+    """Legal forms whose first (0) or last (-1) word is ``w``, or for long words of several-word forms a slip of it."""
+    exact, long = _form_words(at)
+    near = [i for f, ks in long.items() if abs(len(f) - len(w)) <= 1 and (_letters(f) ^ _letters(w)).bit_count() <= 2 and edits(w, f, 1) <= 1 for i in ks]
+    return (*exact.get(w, ()), *near)
+
+
+def _is_form(ws: list[str], form: tuple[str, ...]) -> bool:
+    return tuple(ws) == form or len(form) > 1 and all(edits(a, b, 1) <= (len(b) > 4) for a, b in zip(ws, form))
+
+
 def _strip_legal(ws: list[str]) -> tuple[list[str], str]:
     code = ""
     for _ in range(3):
-        for form, c in _LEGAL:
+        for i in sorted({*_forms_at(ws[-1], -1), *_forms_at(ws[0], 0)}) if len(ws) > 1 else ():
+            form, c = _LEGAL[i]
             k = len(form)
             if len(ws) <= k:
                 continue
-            if tuple(ws[-k:]) == form or (k > 1 and all(edits(a, b, 1) <= (len(b) > 4) for a, b in zip(ws[-k:], form))):
+            if _is_form(ws[-k:], form):
                 ws, code = ws[:-k], code if code and c == "co" else c
                 break
-            if tuple(ws[:k]) == form and c != "co" or (k > 1 and all(edits(a, b, 1) <= (len(b) > 4) for a, b in zip(ws[:k], form))):
+            if (c != "co" or k > 1 and tuple(ws[:k]) != form) and _is_form(ws[:k], form):
                 ws, code = ws[k:], c
                 break
         else:
@@ -170,17 +202,26 @@ def parse_org(name: str | None, common: frozenset[str] = COMMON) -> tuple[str, t
     return stem, tuple(ws[:i] + ws[i + 1 :]), legal
 
 
+def cuts(w: str, most: int) -> set[str]:
+    """``w``, and ``w`` with up to ``most`` letters left out; words at most so many slips apart have one in common."""
+    now = {w}
+    out = set(now)
+    for _ in range(most):
+        now = {x[:i] + x[i + 1 :] for x in now for i in range(len(x))}
+        out |= now
+    return out
+
+
 @lru_cache(8)
-def _cut(common: frozenset[str]) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
-    """Words by themselves and with one letter left out; long words by first letter."""
+def _cut(common: frozenset[str]) -> tuple[dict[str, list[str]], dict[str, list[tuple[str, int]]]]:
+    """Words by what is left of them without a letter; long words with their letters by the first."""
     index: dict[str, list[str]] = {}
+    long: dict[str, list[tuple[str, int]]] = {}
     for c in common:
-        for k in {c, *(c[:i] + c[i + 1 :] for i in range(len(c)))}:
+        for k in cuts(c, 1):
             index.setdefault(k, []).append(c)
-    long: dict[str, list[str]] = {}
-    for c in common:
         if len(c) > 7:
-            long.setdefault(c[0], []).append(c)
+            long.setdefault(c[0], []).append((c, _letters(c)))
     return index, long
 
 
@@ -190,8 +231,11 @@ def _near(w: str, common: frozenset[str], least: int) -> bool:
         for c in index.get(k, ()):
             if len(c) >= least and edits(w, c, 1) <= 1:
                 return True
-    # two slips in a long word leave its beginning or its end
-    return len(w) > 5 and any(abs(len(w) - len(c)) <= 2 and (w[:3] == c[:3] or w[-3:] == c[-3:]) and edits(w, c, 2) <= 2 for c in long.get(w[0], ()))
+    if len(w) <= 5 or w[0] not in long:
+        return False
+    # two slips after the first letter of a long word; they change at most four of the letters that occur
+    mine = _letters(w)
+    return any(abs(len(w) - len(c)) <= 2 and (mine ^ m).bit_count() <= 4 and edits(w, c, 2) <= 2 for c, m in long[w[0]])
 
 
 @lru_cache(200_000)
@@ -232,6 +276,10 @@ def same_word(a: str, b: str) -> float:
     return 0.0
 
 
+#: Likeness of stems two slips apart.
+TWO_SLIPS = 0.84
+
+
 @lru_cache(400_000)
 def same_stem(a: str, b: str) -> float:
     """1 for equal sound, less for each slip, 0 beyond two."""
@@ -247,7 +295,7 @@ def same_stem(a: str, b: str) -> float:
     if d == 1:
         return 0.92 if short >= 6 else 0.8
     if d == 2 and short >= 9 and jaro_winkler(a, b) >= 0.9:
-        return 0.84
+        return TWO_SLIPS
     return 0.0
 
 
