@@ -44,7 +44,7 @@ def queue_names(queue: DataFrame) -> DataFrame:
     rows = p.where(F.col("p.properties").isNotNull()).select(
         "entity_id", (F.col("p.schema") == "Person").alias("person"), F.explode(values("name", "alias")).alias("name"), F.array_max(told).alias("d"),
     ).where(F.col("person").isNotNull() & F.col("name").isNotNull() & (F.trim("name") != ""))
-    once = rows.groupBy("entity_id", "person", "name").agg(F.max("d").alias("d"))
+    once = table(rows.groupBy("entity_id", "person", "name").agg(F.max("d").alias("d")), "names")  # read twice, parsed once
     best = once.groupBy("entity_id").agg(F.max("d").alias("d"))
     return once.drop("d").join(best, "entity_id").select("entity_id", "person", "name", F.coalesce("d.date", F.lit("")).alias("date"))
 
@@ -90,7 +90,11 @@ def stem_codes(stem: str) -> list[str]:
 
 
 def near_stems(stems: DataFrame) -> DataFrame:
-    """``(kind, a, b)``, both ways round and each with itself: the stems of ``(kind, stem)`` of which :func:`names.same_stem` finds at most one slip."""
+    """``(kind, a, b)``, a < b: the stems of distinct ``(kind, stem)`` of which :func:`names.same_stem` finds at most one slip.
+
+    Most codes are one stem's alone; one aggregation over numbers leaves those of
+    two, which are a pair, and those of more, which are joined.
+    """
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes = [stem_codes(x) for x in b.column(1).to_pylist()]
@@ -101,13 +105,16 @@ def near_stems(stems: DataFrame) -> DataFrame:
             good = [N.same_stem(x, y) not in (0.0, N.TWO_SLIPS) for x, y in zip(t.column(1).to_pylist(), t.column(2).to_pylist())]
             yield t.filter(pa.array(good, pa.bool_()))
 
-    once = table(stems.distinct(), "stems")
-    coded = once.mapInArrow(code, "kind string, stem string, codes array<string>").select("kind", "stem", F.explode("codes").alias("c"))
-    coded = table(coded.select(F.xxhash64("kind", "c").alias("h"), "kind", F.col("stem").alias("a")), "codes")
-    pairs = split_join(coded, coded.select("h", F.col("a").alias("b")), ["h"], alike=True).where("a < b").select("kind", "a", "b").distinct()
-    near = table(pairs.mapInArrow(check, "kind string, a string, b string"), "near")
-    drop_table(coded)
-    return near.unionByName(near.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(once.select("kind", F.col("stem").alias("a"), F.col("stem").alias("b")))
+    coded = stems.mapInArrow(code, "kind string, stem string, codes array<string>").select(F.xxhash64("kind", "stem").alias("s"), "kind", F.explode("codes").alias("c"))
+    coded = table(coded.select(F.xxhash64("kind", "c").alias("h"), "s"), "codes")
+    met = table(coded.groupBy("h").agg(F.min("s").alias("x"), F.max("s").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y"), "met")
+    more = coded.join(met.where("n > 2").select("h"), "h", "left_semi")
+    many = split_join(more.select("h", F.col("s").alias("x")), more.select("h", F.col("s").alias("y")), ["h"], alike=True).where("x < y")
+    pairs = met.where("n = 2").select("x", "y").unionByName(many.select("x", "y")).distinct()
+    # a number that two stems share leads to both
+    name = lambda n, c: stems.select(F.xxhash64("kind", "stem").alias(n), F.col("kind").alias("k" + n), F.col("stem").alias(c))
+    named = pairs.join(name("x", "a"), "x").join(name("y", "b"), "y").where("kx = ky").select(F.col("kx").alias("kind"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return table(named.mapInArrow(check, "kind string, a string, b string"), "near")
 
 
 def heads(given: str) -> list[str]:
@@ -119,19 +126,17 @@ def heads(given: str) -> list[str]:
     return sorted(out | ({"2" + given[1:2]} if len(given) > 3 else set()))
 
 
-def meetings(profile: str) -> list[tuple[str, str, int]]:
-    """``(stem, place, role)`` under which a profile meets others; those of one role 1 do not meet each other.
+def meetings(profile: str) -> list[str]:
+    """Places at which a profile meets others with its stem: by year, and by a letter of the given name.
 
     Dated profiles meet by their year (its digits sorted, as a slip may swap
-    them); one without a date meets all that share a letter of the given name;
-    under a full date, stems may be two slips apart.
+    them); one without a date meets all that share a letter of the given name, at
+    places where the dated ones (marked 1) do not meet each other.
     """
-    kind, stem, given, _, _, date = profile.split(SEP)
+    kind, _, given, _, _, date = profile.split(SEP)
     dates = _dates(date)
-    by_letter = heads(given) if kind == "p" else [""]
-    out = [(stem, f"u{h}", int(bool(dates))) for h in by_letter]
-    out += [(stem, "y" + "".join(sorted(str(d[0]))), 0) for d in dates[:1]]
-    return out
+    out = [f"{int(bool(dates))}u{h}" for h in (heads(given) if kind == "p" else ("",))]
+    return out + ["0y" + "".join(sorted(str(d[0]))) for d in dates[:1]]
 
 
 def days(profile: str) -> list[str]:
@@ -181,23 +186,24 @@ def candidate_pairs(profiles: DataFrame) -> DataFrame:
     """``(a, b)``, a < b: the pairs of distinct ``(profile)`` that meet in a block, each once."""
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            ps, rows, ds = t.column(0).to_pylist(), [], []
-            for i, p in enumerate(ps):
-                rows += [(i, *m) for m in meetings(p)]
-                ds += [(i, "", "d" + d, 2) for d in days(p)]
-            rows += ds
+            ps = t.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ps[r[0]] for r in rows], pa.string()), pa.array([ps[r[0]][0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
-                 pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int32())], ["profile", "kind", "stem", "place", "role"])
-
-    placed = table(profiles.mapInArrow(meet, "profile string, kind string, stem string, place string, role int"), "placed")
-    near = near_stems(placed.where("role < 2").select("kind", "stem").distinct())
-    own = placed.where("role < 2")
-    a = split_join(own.select("kind", "stem", "place", "role", F.col("profile").alias("a")), near.select("kind", F.col("a").alias("stem"), "b"), ["kind", "stem"])
-    b = own.select("kind", F.col("stem").alias("b_stem"), "place", F.col("role").alias("r"), F.col("profile").alias("b"))
-    by_stem = split_join(a.select("kind", F.col("b").alias("b_stem"), "place", "role", "a"), b, ["kind", "b_stem", "place"]).where("a < b and not (role = 1 and r = 1)")
-    d = placed.where("role = 2").select("place", F.col("profile").alias("a"))
-    by_day = split_join(d, d.withColumnRenamed("a", "b"), ["place"], alike=True).where("a < b")
+                [t.column(0), pa.array([meetings(p) for p in ps], pa.list_(pa.string())), pa.array([days(p) for p in ps], pa.list_(pa.string()))], ["profile", "places", "days"]
+            )
+
+    part = F.split("profile", SEP)
+    placed = table(profiles.mapInArrow(meet, "profile string, places array<string>, days array<string>").select("*", part[0].alias("kind"), part[1].alias("stem")), "placed")
+    near = near_stems(placed.select("kind", "stem").distinct())
+    # each profile is at home under its own stem and visits the near ones
+    home = placed.select("kind", "stem", "places", "profile")
+    ways = near.select("kind", F.col("a").alias("stem"), F.col("b").alias("to")).unionByName(near.select("kind", F.col("b").alias("stem"), F.col("a").alias("to")))
+    guests = split_join(home, ways, ["kind", "stem"]).select("kind", F.col("to").alias("stem"), "places", "profile")
+    at = lambda df, c, r: df.select("kind", "stem", F.explode("places").alias("p"), "profile").select(
+        F.xxhash64("kind", "stem", F.substring("p", 2, 99)).alias("h"), (F.substring("p", 1, 1) == "1").alias(r), F.col("profile").alias(c)
+    )
+    by_stem = split_join(at(home.unionByName(guests), "a", "ra"), at(home, "b", "rb"), ["h"], alike=True).where("a < b and not (ra and rb)")
+    d = placed.where(F.size("days") > 0).select(F.explode("days").alias("day"), F.col("profile").alias("a"))
+    by_day = split_join(d, d.withColumnRenamed("a", "b"), ["day"], alike=True).where("a < b")
     return by_stem.select("a", "b").unionByName(by_day.select("a", "b")).distinct()
 
 
