@@ -2,10 +2,12 @@
 
 An address is parsed to house number, street, kind of street, town and
 postcode.  Equal parses are one row.  Rows are blocked on house number with
-postcode, and on house number with the sound of the street or the town; in a
-block the components are compared to levels (equal, slip, different, missing),
-and the weights of the levels are estimated by expectation-maximization over
-the counts of all patterns.
+postcode, on house number with town and the street's first sound, and on house
+number with the sound of the street and a part of the place (town, postcode
+area, or neither); in a block the components are compared to levels (equal,
+slip, different, missing).  The weights of the levels are estimated by
+expectation-maximization over the counts of all patterns, and the posterior of
+a pattern decides whether its pairs are one place.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.blocks import group_pairs, split_join
 from quillon.llm.components import connected_components
 from quillon.llm.names import COUNTRIES
 from quillon.llm.text import edits, fold, sound
-from quillon.runtime import spread, table
+from quillon.runtime import drop_table, spread, table
 
 SEP = "\x1f"
 # Kinds of streets; the first of a line is the code.
@@ -56,7 +59,7 @@ _POST = (
     re.compile(r"\b\d{2}-\d{3}\b"),  # PL
     re.compile(r"\b(?:[a-z]{1,2} ?-? ?)?\d{5}(?:-\d{4})?\b"),
 )
-_NUM = re.compile(r"\b\d{1,4}[a-z]?\b")
+_NUM = re.compile(r"\b\d{1,6}[a-z]?\b")
 
 
 _KIND = {}
@@ -196,57 +199,90 @@ def same_place(v: tuple[int, int, int, int]) -> bool:
     return post != 0 or street == 3 and town == 3
 
 
-def chance_levels(counts: list[tuple[float, float, float]]) -> list[list[float]]:
-    """Chances of each level for two unrelated places, of fields with (rows, rows that miss it, sum of squared counts of its values)."""
-    out = []
-    for n, missing, squares in counts:
-        n = max(n, 1.0)
-        gap = 1 - (1 - missing / n) ** 2
-        same = min(0.9, max(1e-6, squares / n**2))
-        slip = min(0.05, 2 * same)
-        out.append([max(1e-6, 1 - gap - same - slip), max(1e-4, gap), slip, same])
-    return [[x / sum(r) for x in r] for r in out]
-
-
-def estimate(
-    counts: dict[tuple[int, ...], int], u: list[list[float]], *, rounds: int = 50, prior: float = 0.5
-) -> tuple[float, list[list[float]], list[list[float]]]:
-    """Share of matches and the chances of each level among matches and others, by expectation-maximization.
-
-    ``counts`` has the number of candidate pairs of each pattern, at most 4**4 of
-    them; ``u``, the chances among unrelated places, is taken from the values of
-    all places and held, as blocks may contain hardly any unrelated pair.  The
-    level "missing" has chances of its own among matches, so it counts for as
-    much as the data say.
+#: Least shares of all places that make a street's name frequent, for classes 0 to 2; all others are of class 3.
+FREQUENT = (0.1, 0.01, 0.001)
+#: Levels of the street: different, missing, slip, and equal by class of its name.
+STREET = 3 + len(FREQUENT) + 1
+# What unmistaken places agree on before anything has been counted: street, kind, town, postcode.
+START = ([0.02, 0.02, 0.2, 0.19, 0.19, 0.19, 0.19], [0.02, 0.03, 0.05, 0.9], [0.02, 0.3, 0.2, 0.48], [0.02, 0.25, 0.05, 0.68])
+Pattern = tuple[int, int, int, int]
+
+
+class Chances:
+    """Chances of each level for two unrelated places, from the values of all places.
+
+    ``counts`` has of number, street, kind, town and postcode the rows, the rows
+    that miss it, and the numbers of ordered pairs of rows with an equal value;
+    ``classes`` has those of the street by class of its name.  A hundred pairs of
+    which one agrees are added, so that a small table says little.  Places with
+    one postcode are in one town as a rule: the town counts for little beside it.
     """
-    m = [[0.05, 0.1, 0.15, 0.7] for _ in u]
-    p, total = prior, sum(counts.values()) or 1
+
+    def __init__(self, counts: list[tuple[float, float, float]], classes: list[float]):
+        n = max(counts[0][0], 1.0)
+        self.pairs = max(1.0, n * (n - 1) / 2)
+        all_pairs = n * (n - 1) + 100
+        same = [(sq + 1) / all_pairs for _, _, sq in counts]
+        gap = [max(1e-4, 1 - (1 - missing / n) ** 2) for _, missing, _ in counts]
+        self.number = same[0]
+        self.u = []
+        for f in range(1, 5):
+            slip = min(0.05, 2 * same[f])
+            equal = [(c + 0.25) / all_pairs for c in classes] if f == 1 else [same[f]]
+            row = [max(1e-6, 1 - gap[f] - slip - sum(equal)), gap[f], slip, *equal]
+            self.u.append([x / sum(row) for x in row])
+        rest = 1 - min(0.9, gap[3])
+        self.town_beside_post = [0.01 * rest, 1 - rest, 0.09 * rest, 0.9 * rest]
+
+    def of(self, v: Pattern) -> float:
+        """Chance that two unrelated places have one house number and this pattern."""
+        town = self.town_beside_post if v[3] == 3 else self.u[2]
+        return self.number * self.u[0][v[0]] * self.u[1][v[1]] * town[v[2]] * self.u[3][v[3]]
+
+
+def estimate(counts: dict[Pattern, int], chances: Chances, *, rounds: int = 50) -> tuple[float, list[list[float]]]:
+    """Share of matches among all pairs of places, and the chances of each level among matches, by expectation-maximization.
+
+    ``counts`` has the number of candidate pairs of each pattern, at most 7 * 4**3
+    of them.  The chances among unrelated places are held, as blocks contain
+    hardly any unrelated pair.  The level "missing" has chances of its own among
+    matches, so it counts for as much as the data say.
+    """
+    m = [list(r) for r in START]
+    p = min(0.5, max(1, sum(counts.values())) / chances.pairs)
     for _ in range(rounds):
-        sm, weight = [[0.01 * total + 1e-3] * LEVELS for _ in u], 0.0
+        sums, weight = [[10 * x for x in r] for r in START], 0.0
         for v, n in counts.items():
-            a, b = p, 1 - p
-            for f, x in enumerate(v):
-                a, b = a * m[f][x], b * u[f][x]
-            g = n * a / (a + b)
+            g = n * weigh(v, (p, m), chances)
             weight += g
             for f, x in enumerate(v):
-                sm[f][x] += g
-        p = min(0.99, max(0.01, weight / total))
-        m = [[x / sum(r) for x in r] for r in sm]
-    return p, m, u
+                sums[f][x] += g
+        p = min(0.5, max(1e-15, weight / chances.pairs))
+        m = [[x / sum(r) for x in r] for r in sums]
+    return p, m
 
 
-def weigh(v: tuple[int, ...], model: tuple[float, list[list[float]], list[list[float]]]) -> float:
-    """Posterior of a pattern."""
-    p, m, u = model
-    x = math.log(p / (1 - p)) + sum(math.log(m[f][i] / u[f][i]) for f, i in enumerate(v))
+def weigh(v: Pattern, model: tuple[float, list[list[float]]], chances: Chances) -> float:
+    """Posterior of a pattern: the chance that two places with it are one."""
+    p, m = model
+    x = math.log(p / (1 - p)) + sum(math.log(m[f][i]) for f, i in enumerate(v)) - math.log(chances.of(v))
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
-def _blocks(p: Place) -> list[str]:
+def blocks(p: Place) -> list[tuple[str, str]]:
+    """``(key, role)`` of a place.
+
+    Under number with postcode, with town and the street's first sound, and with
+    street and the town's first or last sound, all meet (role ``x``).  Under number and
+    street alone meet only pairs that have neither town nor postcode on both
+    sides: ``n`` (neither) meets all, ``t`` (no town) meets ``p`` (no postcode).
+    """
     number, street, _, town, post = p
-    s = sound(street)
-    return [f"p{number}.{post}"] * bool(post) + [f"s{number}.{s}"] + [f"t{number}.{sound(town)}.{s[:1]}"] * bool(town)
+    s, t = sound(street), sound(town)
+    out = [(f"p{number}.{post}", "x")] * bool(post)
+    if town:
+        out += [(f"t{number}.{t}.{s[:1]}", "x"), (f"s{number}.{s}.{t[:1]}", "x"), (f"e{number}.{s}.{t[-1:]}", "x")]
+    return out + [(f"b{number}.{s}", "c" if town and post else "p" if town else "t" if post else "n")]
 
 
 def _fill_towns(held: DataFrame, *, least: int = 3, share: float = 0.8) -> DataFrame:
@@ -266,13 +302,46 @@ def _fill_towns(held: DataFrame, *, least: int = 3, share: float = 0.8) -> DataF
     return rows.where("town != '' or area is null").select("id", "place").unionByName(filled)
 
 
-def link_places(rows: DataFrame, id_col: str, address_col: str, *, least: float = 0.5) -> DataFrame:
-    """``(left_id, right_id)``, smaller first: pairs of rows whose address is the same house of the same street and town.
+def _loose(links: DataFrame) -> DataFrame:
+    """Links ``(a, b, v)`` without those by number and street alone of places whose partners are not in one town."""
+    town = lambda c: F.split(c, SEP)[3]
+    told = F.coalesce(F.nullif(town("a"), F.lit("")), F.nullif(town("b"), F.lit("")))
+    bare = links.where(F.substring("v", 3, 2) == "11").select("a", "b", told.alias("town"))
+    ends = bare.select(F.explode(F.array("a", "b")).alias("place"), "town").groupBy("place").agg(F.min("town").alias("low"), F.max("town").alias("high"))
+    torn = ends.where("low != high").select("place")
+    kept = bare.join(torn.withColumnRenamed("place", "a"), "a", "left_anti").join(torn.withColumnRenamed("place", "b"), "b", "left_anti")
+    return links.where(F.substring("v", 3, 2) != "11").select("a", "b").unionByName(kept.select("a", "b"))
+
+
+def candidate_places(places: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: the pairs of distinct ``(place)`` that meet in a block, each once."""
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ps, ks, rs = [], [], []
+            for x in b.column(0).to_pylist():
+                for k, r in blocks(tuple(x.split(SEP))):
+                    ps.append(x)
+                    ks.append(k)
+                    rs.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.string()), pa.array(ks, pa.string()), pa.array(rs, pa.string())], ["place", "k", "r"])
+
+    keys = table(places.mapInArrow(block, "place string, k string, r string").select(F.xxhash64("k").alias("h"), "place", "r"), "blocks")
+    full, bare = keys.where("r = 'x'"), keys.where("r != 'x'")
+    a = lambda df: df.select("h", F.col("place").alias("a"), "r")
+    b = lambda df: df.select("h", F.col("place").alias("b"), F.col("r").alias("q"))
+    pairs = split_join(a(full), b(full), ["h"], alike=True).where("a < b").select("a", "b")
+    part = split_join(a(bare.where("r in ('n', 't')")), b(bare), ["h"]).where("a != b and (r = 'n' or q = 'p')")
+    return pairs.unionByName(part.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
+def place_groups(rows: DataFrame, id_col: str, address_col: str, *, least: float = 0.5) -> DataFrame:
+    """``(id, group)``, a row per id and place: rows of one group are the same house of the same street and town.
 
     Null, empty and meaningless addresses, and those without a number or a street,
-    are in no pair.  Equal addresses are compared once; ids that repeat give one
-    pair.  A missing town is made up for by an equal postcode.  A pattern of
-    agreement links if its posterior reaches ``least`` and it passes the exact check.
+    are in no group.  Equal addresses are compared once; repeated ids give one
+    row a place.  A missing town is made up for by an equal postcode.  A pattern of
+    agreement links if its posterior reaches ``least``; with neither a town nor a postcode
+    in common, a place joins others only if these are in one town.
     """
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -280,46 +349,44 @@ def link_places(rows: DataFrame, id_col: str, address_col: str, *, least: float
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p and SEP.join(p) for p in ps], pa.string())], ["id", "place"])
 
     src = spread(rows.where(F.col(id_col).isNotNull() & F.col(address_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(address_col).alias("a")))
-    held = table(src.mapInArrow(parse, "id string, place string").where("place is not null"), "places")
-
-    held = table(_fill_towns(held), "filled")
-
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ps, ks = [], []
-            for x in b.column(0).to_pylist():
-                keys = _blocks(tuple(x.split(SEP)))
-                ps += [x] * len(keys)
-                ks += keys
-            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.string()), pa.array(ks, pa.string())], ["place", "k"])
-
-    keys = table(held.select("place").distinct().mapInArrow(block, "place string, k string").select(F.xxhash64("k").alias("h"), "place"), "blocks")
-    pairs = keys.select("h", F.col("place").alias("a")).join(keys.select("h", F.col("place").alias("b")), "h").where("a < b").select("a", "b").distinct()
+    parsed = table(src.mapInArrow(parse, "id string, place string").where("place is not null"), "places")
+    held = table(_fill_towns(parsed), "filled")
+    drop_table(parsed)
+    places = held.select("place").distinct()
+    f = F.split("place", SEP)
+    values = table(places.select(F.explode(F.array(*(
+        F.struct(F.lit(i).alias("i"), (F.substring(f[i], 1, 2) if i == 2 else f[i]).alias("x")) for i in range(5)
+    ))).alias("s")).groupBy("s.i", "s.x").count(), "values")
+    n = F.col("count").cast("double")
+    pairs = F.sum(F.when(F.col("x") != "", n * (n - 1)).otherwise(0.0))
+    sums = values.groupBy("i").agg(F.sum(n).alias("n"), F.sum(F.when(F.col("x") == "", n).otherwise(0.0)).alias("gap"), pairs.alias("same")).orderBy("i").collect()  # five rows
+    total = max(1.0, sums[0].n if sums else 0.0)
+    share = [F.lit(total * x) for x in FREQUENT]
+    rank = F.when(n >= share[0], 0).when(n >= share[1], 1).when(n >= share[2], 2).otherwise(3)
+    streets = values.where("i = 1 and x != ''").withColumn("class", rank)
+    by_class = {r["class"]: r.same for r in streets.groupBy("class").agg(pairs.alias("same")).collect()}  # four rows
+    known = {r.x: r["class"] for r in streets.where("class < 3").select("x", "class").collect()}  # at most 1 / 0.001 names
+    chances = Chances([(r.n, r.gap, r.same) for r in sums], [by_class.get(c, 0.0) for c in range(4)]) if sums else None
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = b.column(0).to_pylist(), b.column(1).to_pylist()
             vs = []
-            for p, q in zip(x, y):
+            for p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 p, q = tuple(p.split(SEP)), tuple(q.split(SEP))
-                vs.append("".join(map(str, levels(p, q))) if p[0] == q[0] else None)
+                street, *rest = levels(p, q)
+                vs.append("".join(map(str, (street + known.get(p[1], 3) if street == 3 else street, *rest))) if p[0] == q[0] else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vs, pa.string())], ["a", "b", "v"])
 
-    patterns = table(pairs.mapInArrow(compare, "a string, b string, v string").where("v is not null"), "patterns")
-    counts = {tuple(map(int, r.v)): r["count"] for r in patterns.groupBy("v").count().collect()}  # at most 256 patterns
-    f = F.split("place", SEP)
-    places = held.select("place").distinct().select(F.explode(F.array(*(
-        F.struct(F.lit(i).alias("i"), (F.substring(f[k], 1, 2) if k == 2 else f[k]).alias("x")) for i, k in enumerate((1, 2, 3, 4))
-    ))).alias("s")).groupBy("s.i", "s.x").count()
-    told = F.col("x") != ""
-    sums = places.groupBy("i").agg(
-        F.sum("count").alias("n"), F.sum(F.when(~told, F.col("count")).otherwise(0)).alias("gap"),
-        F.sum(F.when(told, F.col("count").cast("double") * F.col("count")).otherwise(0.0)).alias("sq"),
-    ).orderBy("i").collect()  # four rows
-    model = estimate(counts, chance_levels([(r.n, r.gap, r.sq) for r in sums])) if counts else (0.5, [], [])
-    good = ["".join(map(str, v)) for v in counts if same_place(v) and weigh(v, model) >= least]
-    links = patterns.where(F.col("v").isin(*good) if good else F.lit(False)).select("a", "b")
+    patterns = table(candidate_places(places).mapInArrow(compare, "a string, b string, v string").where("v is not null"), "patterns")
+    counts: dict[Pattern, int] = {tuple(map(int, r.v)): r["count"] for r in patterns.groupBy("v").count().collect()}  # at most 448 patterns
+    model = estimate(counts, chances) if counts else None
+    good = ["".join(map(str, v)) for v in counts if weigh(v, model, chances) >= least]
+    links = _loose(patterns.where(F.col("v").isin(*good) if good else F.lit(False)))
     roots = connected_components(links, "a", "b").select(F.col("v").alias("place"), "root")
-    groups = table(held.distinct().join(roots, "place", "left").select("id", F.coalesce("root", "place").alias("root")).distinct(), "groups")
-    left = groups.select("root", F.col("id").alias("left_id"))
-    return left.join(groups.select("root", F.col("id").alias("right_id")), "root").where("left_id < right_id").select("left_id", "right_id").distinct()
+    return held.distinct().join(roots, "place", "left").select("id", F.coalesce("root", "place").alias("group")).distinct()
+
+
+def link_places(rows: DataFrame, id_col: str, address_col: str, *, least: float = 0.5) -> DataFrame:
+    """``(left_id, right_id)``, smaller first: the pairs of rows of :func:`place_groups`, each once."""
+    groups = table(place_groups(rows, id_col, address_col, least=least), "groups")
+    return group_pairs(groups, "id", "group").distinct()
