@@ -2,9 +2,9 @@
 
 An address is parsed to house number, street, kind of street, town and
 postcode.  Equal parses are one row.  Rows are blocked on house number with
-postcode, on house number with town and the street's first sound, and on house
-number with the sound of the street and a part of the place (town, postcode
-area, or neither); in a block the components are compared to levels (equal,
+postcode, on house number with town (also with a letter left out) and an end of
+the street's sound, and where town and postcode are missing on house number with
+the sound of the street; in a block the components are compared to levels (equal,
 slip, different, missing).  The weights of the levels are estimated by
 expectation-maximization over the counts of all patterns, and the posterior of
 a pattern decides whether its pairs are one place.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.blocks import group_pairs, split_join
 from quillon.llm.components import connected_components
-from quillon.llm.names import COUNTRIES
+from quillon.llm.names import COUNTRIES, cuts
 from quillon.llm.text import edits, fold, sound
 from quillon.runtime import drop_table, spread, table
 
@@ -41,7 +41,8 @@ GLUED = ("strasse", "strass", "straat", "platz", "gracht", "laan", "weg", "allee
 # Number words.
 NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 TENS = {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
-_NATIONS = {x for xs in COUNTRIES.values() for x in xs.split()}
+# Countries whose names and codes are taken out of addresses; other codes are words of some language.
+_NATIONS = {x for c in "gb us de fr it es nl pl cy vg pa ie ch".split() for x in COUNTRIES[c].split()}
 _NATION = re.compile(
     r"\b(?:united kingdom|great britain|united states(?: of america)?|u\.? ?s\.? ?a\.?|u\.? ?k\.?|the netherlands|deutschland|polska|espana|italia|france|germany|poland|spain|italy|netherlands|nederland|cyprus|"
     + "|".join(sorted((x for x in _NATIONS if len(x) == 3), key=len, reverse=True)) + r")\b\.?"
@@ -103,7 +104,12 @@ def parse_address(text: str | None) -> Place | None:
     s = _NUMERO.sub("", s)
     post = ""
     for p in _POST:
-        if m := p.search(s):
+        m = None
+        for m in p.finditer(s) if p is _POST[-1] else (p.search(s),):  # of several bare numbers the last one
+            pass
+        if m and p is _POST[-1] and m[0].isdigit() and not re.search(r"\d", s[: m.start()] + s[m.end() :]):
+            m = None  # the only number is that of the house
+        if m:
             post = re.sub(r"[^a-z0-9]", "", m[0])
             if not re.match(r"[a-z]{1,2}\d{1,2}[a-z]?\d[a-z]{2}$", post):
                 post = re.sub(r"^[a-z]+", "", post)
@@ -204,7 +210,7 @@ FREQUENT = (0.1, 0.01, 0.001)
 #: Levels of the street: different, missing, slip, and equal by class of its name.
 STREET = 3 + len(FREQUENT) + 1
 # What unmistaken places agree on before anything has been counted: street, kind, town, postcode.
-START = ([0.02, 0.02, 0.2, 0.19, 0.19, 0.19, 0.19], [0.02, 0.03, 0.05, 0.9], [0.02, 0.3, 0.2, 0.48], [0.02, 0.25, 0.05, 0.68])
+START = ([0.02, 0.02, 0.2, 0.19, 0.19, 0.19, 0.19], [0.001, 0.03, 0.019, 0.95], [0.02, 0.3, 0.2, 0.48], [0.02, 0.25, 0.05, 0.68])
 Pattern = tuple[int, int, int, int]
 
 
@@ -272,8 +278,8 @@ def weigh(v: Pattern, model: tuple[float, list[list[float]]], chances: Chances)
 def blocks(p: Place) -> list[tuple[str, str]]:
     """``(key, role)`` of a place.
 
-    Under number with postcode, with town and the street's first sound, and with
-    street and the town's first or last sound, all meet (role ``x``).  Under number and
+    Under number with postcode, with town and the street's last sound, and with its
+    first sound and the town with up to one letter left out, all meet (role ``x``).  Under number and
     street alone meet only pairs that have neither town nor postcode on both
     sides: ``n`` (neither) meets all, ``t`` (no town) meets ``p`` (no postcode).
     """
@@ -281,7 +287,7 @@ def blocks(p: Place) -> list[tuple[str, str]]:
     s, t = sound(street), sound(town)
     out = [(f"p{number}.{post}", "x")] * bool(post)
     if town:
-        out += [(f"t{number}.{t}.{s[:1]}", "x"), (f"s{number}.{s}.{t[:1]}", "x"), (f"e{number}.{s}.{t[-1:]}", "x")]
+        out += [(f"t{number}.{c}.{s[:1]}", "x") for c in ({"!" + t} | cuts(town, 1) if len(town) > 3 else {"!" + t})] + [(f"e{number}.{t}.{s[-1:]}", "x")]
     return out + [(f"b{number}.{s}", "c" if town and post else "p" if town else "t" if post else "n")]
 
 
@@ -340,7 +346,7 @@ def place_groups(rows: DataFrame, id_col: str, address_col: str, *, least: float
     Null, empty and meaningless addresses, and those without a number or a street,
     are in no group.  Equal addresses are compared once; repeated ids give one
     row a place.  A missing town is made up for by an equal postcode.  A pattern of
-    agreement links if its posterior reaches ``least``; with neither a town nor a postcode
+    agreement links if its posterior reaches ``least`` and the kinds of the streets do not differ; with neither a town nor a postcode
     in common, a place joins others only if these are in one town.
     """
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +386,7 @@ def place_groups(rows: DataFrame, id_col: str, address_col: str, *, least: float
     patterns = table(candidate_places(places).mapInArrow(compare, "a string, b string, v string").where("v is not null"), "patterns")
     counts: dict[Pattern, int] = {tuple(map(int, r.v)): r["count"] for r in patterns.groupBy("v").count().collect()}  # at most 448 patterns
     model = estimate(counts, chances) if counts else None
-    good = ["".join(map(str, v)) for v in counts if weigh(v, model, chances) >= least]
+    good = ["".join(map(str, v)) for v in counts if weigh(v, model, chances) >= least and v[1]]  # streets of two kinds are two, where a table is too small to tell
     links = _loose(patterns.where(F.col("v").isin(*good) if good else F.lit(False)))
     roots = connected_components(links, "a", "b").select(F.col("v").alias("place"), "root")
     return held.distinct().join(roots, "place", "left").select("id", F.coalesce("root", "place").alias("group")).distinct()

@@ -121,7 +121,7 @@ def heads(given: str) -> list[str]:
     """Letters of a given name of which two names that :func:`names.same_given` takes for one share at least one."""
     if not given:
         return ["?"]
-    firsts = {given[0], *(c[0] for c in N._canonical_given(given))}
+    firsts = {given[0], *(c[0] for c in N._canonical_given(given) or N.near_given(given))}
     out = {sound(f) or f for f in firsts} | {sound(given)[:1] or given[0]}
     return sorted(out | ({"2" + given[1:2]} if len(given) > 3 else set()))
 

@@ -398,6 +398,17 @@ def parse_person(name: str | None, common: frozenset[str] = GIVEN) -> Person | N
     return (rest[0] if rest else ""), tuple(rest[1:]), "".join(ws[i:j]), gen
 
 
+_FORMS = [(s, _letters(s), g) for g, ns in NICKNAMES.items() for n in (g, *ns.split()) if len(n) >= 4 for s in (sound(n),)]
+
+
+@lru_cache(100_000)
+def near_given(x: str) -> frozenset[str]:
+    """Given names of which a form of four letters or more sounds like ``x`` but for one slip."""
+    s = sound(x)
+    mine = _letters(s)
+    return frozenset(g for f, m, g in _FORMS if abs(len(f) - len(s)) <= 1 and (mine ^ m).bit_count() <= 2 and edits(s, f, 1) <= 1)
+
+
 @lru_cache(400_000)
 def same_given(a: str, b: str) -> float:
     """1 for equal, 0.95 for nicknames, 0.9 for a slip, 0.7 for an initial, 0.5 if one is missing, else 0."""
@@ -422,7 +433,7 @@ def same_given(a: str, b: str) -> float:
     if min(len(a), len(b)) >= 3 and max(len(a), len(b)) >= 4 and d <= 2 and a[0] == b[0] and not (a in GIVEN and b in GIVEN) and (d == 1 or len(a) > 5 and len(b) > 5):
         return 0.85
     for x, cs in ((a, cb), (b, ca)):  # a slip within another form of the same name
-        if cs and not _canonical_given(x) and any(edits(sound(x), sound(n), 1) <= 1 for c in cs for n in (c, *NICKNAMES[c].split()) if len(n) >= 4):
+        if cs and not _canonical_given(x) and cs & near_given(x):
             return 0.85
     return 0.0
 
@@ -513,12 +524,23 @@ def compare_dates(a: tuple[Date, ...], b: tuple[Date, ...]) -> int:
 COUNTRIES = {
     "gb": "gb uk gbr greatbritain unitedkingdom england", "us": "us usa unitedstates america unitedstatesofamerica", "de": "de deu ger germany deutschland",
     "fr": "fr fra france", "it": "it ita italy italia", "es": "es esp spain espana", "nl": "nl nld netherlands thenetherlands holland nederland",
-    "pl": "pl pol poland polska", "cy": "cy cyp cyprus", "vg": "vg vgb britishvirginislands", "pa": "pa pan panama", "ie": "ie irl ireland", "ch": "ch che switzerland",
+    "pl": "pl pol poland polska", "cy": "cy cyp cyprus", "vg": "vg vgb britishvirginislands", "pa": "pa pan panama", "ie": "ie irl ireland", "ch": "ch che switzerland schweiz suisse",
+    "at": "at aut austria osterreich", "be": "be bel belgium belgique belgie", "lu": "lu lux luxembourg", "pt": "pt prt portugal", "se": "se swe sweden sverige", "no": "no nor norway norge",
+    "dk": "dk dnk denmark danmark", "fi": "fi fin finland suomi", "cz": "cz cze czechia czechrepublic", "hu": "hu hun hungary", "ro": "ro rou romania", "bg": "bg bgr bulgaria", "gr": "gr grc greece",
+    "ru": "ru rus russia russianfederation", "ua": "ua ukr ukraine", "by": "by blr belarus", "tr": "tr tur turkey turkiye", "ae": "ae are unitedarabemirates uae", "sg": "sg sgp singapore",
+    "hk": "hk hkg hongkong", "cn": "cn chn china", "jp": "jp jpn japan", "in": "in ind india", "au": "au aus australia", "ca": "ca can canada", "br": "br bra brazil brasil", "mx": "mx mex mexico",
+    "za": "za zaf southafrica", "mt": "mt mlt malta", "li": "li lie liechtenstein", "ee": "ee est estonia", "lv": "lv lva latvia", "lt": "lt ltu lithuania", "sk": "sk svk slovakia", "si": "si svn slovenia", "hr": "hr hrv croatia",
 }
 _COUNTRY = {x: c for c, xs in COUNTRIES.items() for x in xs.split()}
 
 
 def parse_country(s: str | None) -> str:
-    """Two-letter code of a country or jurisdiction in one of several notations, empty if unknown."""
+    """Two-letter code of a country or jurisdiction in one of several notations; one that is not listed stays as its letters, empty if there are none."""
     t = re.sub(r"[^a-z_]", "", fold(s))
-    return _COUNTRY.get(t) or _COUNTRY.get(t.partition("_")[0], "")
+    first = t.partition("_")[0]
+    return _COUNTRY.get(t) or _COUNTRY.get(first) or first
+
+
+def one_country(a: str, b: str) -> bool:
+    """Whether two parsed countries can be one: notations of different length cannot be told apart where one is not listed."""
+    return a == b or len(a) != len(b)
