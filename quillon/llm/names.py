@@ -123,7 +123,7 @@ def _words(name: str) -> list[str]:
     return s.split()
 
 
-def _letters(w: str) -> int:
+def letters(w: str) -> int:
     """The letters of a word as bits; one slip changes at most two of them."""
     m = 0
     for c in w:
@@ -147,7 +147,7 @@ def _form_words(at: int) -> tuple[dict[str, list[int]], dict[str, list[int]]]:
 def _forms_at(w: str, at: int) -> tuple[int, ...]:
     """Legal forms whose first (0) or last (-1) word is ``w``, or for long words of several-word forms a slip of it."""
     exact, long = _form_words(at)
-    near = [i for f, ks in long.items() if abs(len(f) - len(w)) <= 1 and (_letters(f) ^ _letters(w)).bit_count() <= 2 and edits(w, f, 1) <= 1 for i in ks]
+    near = [i for f, ks in long.items() if abs(len(f) - len(w)) <= 1 and (letters(f) ^ letters(w)).bit_count() <= 2 and edits(w, f, 1) <= 1 for i in ks]
     return (*exact.get(w, ()), *near)
 
 
@@ -221,7 +221,7 @@ def _cut(common: frozenset[str]) -> tuple[dict[str, list[str]], dict[str, list[t
         for k in cuts(c, 1):
             index.setdefault(k, []).append(c)
         if len(c) > 7:
-            long.setdefault(c[0], []).append((c, _letters(c)))
+            long.setdefault(c[0], []).append((c, letters(c)))
     return index, long
 
 
@@ -234,7 +234,7 @@ def _near(w: str, common: frozenset[str], least: int) -> bool:
     if len(w) <= 5 or w[0] not in long:
         return False
     # two slips after the first letter of a long word; they change at most four of the letters that occur
-    mine = _letters(w)
+    mine = letters(w)
     return any(abs(len(w) - len(c)) <= 2 and (mine ^ m).bit_count() <= 4 and edits(w, c, 2) <= 2 for c, m in long[w[0]])
 
 
@@ -398,14 +398,14 @@ def parse_person(name: str | None, common: frozenset[str] = GIVEN) -> Person | N
     return (rest[0] if rest else ""), tuple(rest[1:]), "".join(ws[i:j]), gen
 
 
-_FORMS = [(s, _letters(s), g) for g, ns in NICKNAMES.items() for n in (g, *ns.split()) if len(n) >= 4 for s in (sound(n),)]
+_FORMS = [(s, letters(s), g) for g, ns in NICKNAMES.items() for n in (g, *ns.split()) if len(n) >= 4 for s in (sound(n),)]
 
 
 @lru_cache(100_000)
 def near_given(x: str) -> frozenset[str]:
     """Given names of which a form of four letters or more sounds like ``x`` but for one slip."""
     s = sound(x)
-    mine = _letters(s)
+    mine = letters(s)
     return frozenset(g for f, m, g in _FORMS if abs(len(f) - len(s)) <= 1 and (mine ^ m).bit_count() <= 2 and edits(s, f, 1) <= 1)
 
 
