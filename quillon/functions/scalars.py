@@ -94,12 +94,12 @@ def clamp(n: int, low: int, high: int) -> int:
 
 
 def valid_entity_id(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^[A-Za-z0-9:._-]+$"), F.lit(False))
+    return F.coalesce(c.rlike(r"^[A-Za-z0-9:._-]+\z"), F.lit(False))
 
 
 def valid_target(c: Column) -> Column:
     """Host names and addresses that a tool may be pointed at."""
-    return F.coalesce(c.rlike(r"^[A-Za-z0-9._:-]+$") & (F.length(c) <= 253) & ~c.startswith("-") & ~c.contains(".."), F.lit(False))
+    return F.coalesce(c.rlike(r"^[A-Za-z0-9.:-]+\z") & (F.length(c) <= 253) & ~c.startswith("-") & ~c.contains(".."), F.lit(False))
 
 
 def target_allowed(c: Column, allowed: list[str]) -> Column:
@@ -112,7 +112,7 @@ def target_allowed(c: Column, allowed: list[str]) -> Column:
 
 def placeholder_text(c: Column) -> Column:
     """Descriptions that describe nothing."""
-    bare = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"^\[ai generated\]", ""))
+    bare = F.trim(F.regexp_replace(F.trim(F.lower(F.coalesce(c, F.lit("")))), r"^\[ai generated\]", ""))
     return bare.isin("", "n/a")
 
 

@@ -1,8 +1,8 @@
 """The ontology tables: schemata, their lineage and their entity-typed properties.
 
-The tables are small fixed vocabularies (tens of rows), so they are literal
-DataFrames or maps in expressions; a wider ontology is given as tables of the
-same columns.
+The tables are small fixed vocabularies (tens of rows), so they are literals in
+expressions.  They hold the public model's schemata; another or wider ontology is
+given as tuples of the same form to the functions that take ``schemata``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,42 @@ SCHEMATA = (
     ("Organization", ("LegalEntity",), False, True),
     ("Asset", ("Thing",), False, True),
     ("Company", ("Organization", "Asset"), False, True),
-    ("Vessel", ("Asset",), False, True),
+    ("PublicBody", ("Organization",), False, True),
+    ("Vehicle", ("Asset",), False, True),
+    ("Vessel", ("Vehicle",), False, True),
+    ("Airplane", ("Vehicle",), False, True),
+    ("RealEstate", ("Asset",), False, True),
+    ("Security", ("Asset",), False, True),
+    ("BankAccount", ("Asset",), False, True),
+    ("CryptoWallet", ("Thing",), False, True),
+    ("Contract", ("Asset",), False, False),
+    ("License", ("Contract",), False, False),
+    ("Position", ("Thing",), False, False),
+    ("CourtCase", ("Thing",), False, False),
+    ("Project", ("Thing",), False, False),
+    ("Assessment", ("Thing",), False, False),
+    ("Note", ("Thing",), False, False),
+    ("Document", ("Thing",), False, False),
+    ("Folder", ("Document",), False, False),
+    ("Package", ("Folder",), False, False),
+    ("Workbook", ("Folder",), False, False),
+    ("Email", ("Folder",), False, False),
+    ("Table", ("Document",), False, False),
+    ("HyperText", ("Document",), False, False),
+    ("PlainText", ("Document",), False, False),
+    ("Pages", ("Document",), False, False),
+    ("Image", ("Document",), False, False),
+    ("Audio", ("Document",), False, False),
+    ("Video", ("Document",), False, False),
+    ("Trip", ("Event",), False, False),
+    ("Mention", (), False, False),
+    ("Identification", (), False, False),
+    ("Passport", ("Identification",), False, False),
+    ("TaxRoll", (), False, False),
+    ("EconomicActivity", (), False, False),
+    ("Call", (), False, False),
+    ("Message", (), False, False),
+    ("ContractAward", (), False, False),
     ("Address", ("Thing",), False, True),
     ("Article", ("Thing",), False, False),
     ("Event", ("Thing",), False, False),
@@ -31,6 +66,18 @@ SCHEMATA = (
     ("Directorship", (), True, False),
     ("Membership", (), True, False),
     ("UnknownLink", (), True, False),
+    ("Associate", (), True, False),
+    ("Family", (), True, False),
+    ("Employment", (), True, False),
+    ("Representation", (), True, False),
+    ("Occupancy", (), True, False),
+    ("Succession", (), True, False),
+    ("Debt", (), True, False),
+    ("Payment", (), True, False),
+    ("Documentation", (), True, False),
+    ("CourtCaseParty", (), True, False),
+    ("ProjectParticipant", (), True, False),
+    ("Similar", (), True, False),
 )
 # Entity-typed properties of nodes: schema, property, label of the link, range.
 LINKS = (
@@ -47,6 +94,18 @@ EDGES = {
     "Directorship": ("director", "organization", "DIRECTS"),
     "Membership": ("member", "organization", "MEMBER_OF"),
     "UnknownLink": ("subject", "object", "LINKED"),
+    "Associate": ("person", "associate", "ASSOCIATE_OF"),
+    "Family": ("person", "relative", "RELATED_TO"),
+    "Employment": ("employee", "employer", "EMPLOYED_BY"),
+    "Representation": ("agent", "client", "REPRESENTS"),
+    "Occupancy": ("holder", "post", "HOLDS"),
+    "Succession": ("predecessor", "successor", "SUCCEEDED_BY"),
+    "Debt": ("debtor", "creditor", "OWES"),
+    "Payment": ("payer", "beneficiary", "PAID"),
+    "Documentation": ("document", "entity", "DOCUMENTS"),
+    "CourtCaseParty": ("party", "case", "PARTY_IN"),
+    "ProjectParticipant": ("participant", "project", "TAKES_PART_IN"),
+    "Similar": ("candidate", "match", "SIMILAR_TO"),
 }
 # Topics that mean risk.
 RISKS = (
@@ -57,61 +116,67 @@ RISKS = (
 #: Topics known to carry no risk; a parameter wherever it matters.
 BENIGN_TOPICS = ("role.pep.natl", "role.pep.intl", "role.pep.frmr", "crime.cyber", "gov", "fin", "corp.public", "media", "asset.frozen")
 
-PARENTS = {s: p for s, p, _, _ in SCHEMATA}
+Schemata = tuple[tuple[str, tuple[str, ...], bool, bool], ...]
+NAMES = tuple(s for s, *_ in SCHEMATA)
 
 
-def lineage(schema: str) -> set[str]:
+def lineage(schema: str, schemata: Schemata = SCHEMATA) -> set[str]:
     """A schema and all its ancestors."""
-    return {schema, *(a for p in PARENTS.get(schema, ()) for a in lineage(p))}
+    parents = {s: p for s, p, *_ in schemata}
+    return {schema, *(a for p in parents.get(schema, ()) for a in lineage(p, schemata))}
 
 
-def common_schema(a: str, b: str) -> str | None:
+def common_schema(a: str, b: str, schemata: Schemata = SCHEMATA) -> str | None:
     """The narrower of two schemata of one lineage, null if they share none."""
-    if a in lineage(b):
+    if a in lineage(b, schemata):
         return b
-    return a if b in lineage(a) else None
+    return a if b in lineage(a, schemata) else None
 
 
-def compatibility(spark: SparkSession) -> DataFrame:
-    """``(schema_l, schema_r, common)``: the pairs that can be merged; below 300 rows."""
-    rows = [(a, b, c) for a, *_ in SCHEMATA for b, *_ in SCHEMATA if (c := common_schema(a, b))]
-    return spark.createDataFrame(rows, "schema_l string, schema_r string, common string")
+def common_pairs(schemata: Schemata = SCHEMATA) -> list[tuple[str, str, str]]:
+    """``(schema, schema, common)``: the pairs that can be merged, both ways round."""
+    up = {s: lineage(s, schemata) for s, *_ in schemata}
+    return [(a, b, b if a in up[b] else a) for a in up for b in up if a in up[b] or b in up[a]]
+
+
+def compatibility(spark: SparkSession, schemata: Schemata = SCHEMATA) -> DataFrame:
+    """``(schema_l, schema_r, common)``: the pairs that can be merged; some hundred rows, as schemata have few ancestors."""
+    return spark.createDataFrame(common_pairs(schemata), "schema_l string, schema_r string, common string")
 
 
 def _in(c: Column, names) -> Column:
     return c.isin(*names) if names else F.lit(False)
 
 
-def is_edge(schema: Column) -> Column:
-    return _in(schema, [s for s, _, e, _ in SCHEMATA if e])
+def is_edge(schema: Column, schemata: Schemata = SCHEMATA) -> Column:
+    return _in(schema, [s for s, _, e, _ in schemata if e])
 
 
-def matchable(schema: Column) -> Column:
+def matchable(schema: Column, schemata: Schemata = SCHEMATA) -> Column:
     """Schemata that take part in matching; an unknown one does."""
-    return ~_in(schema, [s for s, _, e, m in SCHEMATA if e or not m])
+    return ~_in(schema, [s for s, _, e, m in schemata if e or not m])
 
 
-def link_label(schema: Column, prop: Column) -> Column:
+def link_label(schema: Column, prop: Column, schemata: Schemata = SCHEMATA, links=LINKS) -> Column:
     """Label of the link that an entity-typed property makes, null for other properties."""
-    cases = [(s, p, label) for s, p, label, _ in LINKS]
     out = F.lit(None).cast("string")
-    for s, p, label in cases:
-        kinds = [x for x, *_ in SCHEMATA if s in lineage(x)]
+    for s, p, label, *_ in links:
+        kinds = [x for x, *_ in schemata if s in lineage(x, schemata)]
         out = F.when((prop == p) & schema.isin(*kinds), label).otherwise(out)
     return out
 
 
-def entity_typed(schema: Column, prop: Column) -> Column:
+def entity_typed(schema: Column, prop: Column, schemata: Schemata = SCHEMATA, links=LINKS, edges=EDGES) -> Column:
     """Whether the values of a property are ids of entities: links of nodes, and both ends of edges."""
-    out = link_label(schema, prop).isNotNull()
-    for s, (source, target, _) in EDGES.items():
+    out = link_label(schema, prop, schemata, links).isNotNull()
+    for s, (source, target, _) in edges.items():
         out = out | ((schema == s) & prop.isin(source, target))
     return F.coalesce(out, F.lit(False))
 
 
-def common_of(schemata: Column) -> Column:
+def common_of(schemata: Column, known: Schemata = SCHEMATA) -> Column:
     """The common schema of a sorted array of schemata; the first stays where no schema is common."""
-    pairs = [(a, b, c) for a, *_ in SCHEMATA for b, *_ in SCHEMATA if (c := common_schema(a, b)) and c != a]
+    pairs = [(a, b, c) for a, b, c in common_pairs(known) if c != a]
     table = F.create_map(*[x for a, b, c in pairs for x in (F.lit(f"{a}|{b}"), F.lit(c))])
     return F.aggregate(schemata, F.get(schemata, F.lit(0)), lambda acc, s: F.coalesce(F.try_element_at(table, F.concat_ws("|", acc, s)), acc))
 

@@ -123,7 +123,7 @@ def merge_entities(clusters: DataFrame, entities: DataFrame) -> DataFrame:
     """
     m = clusters.select("canonical_id", F.col("member_id").alias("id")).join(entities, "id")
     order = m.groupBy("canonical_id").agg(F.array_sort(F.collect_list(F.struct("id", "schema"))).alias("ms"))
-    pairs = [(a, b, c) for a, *_ in O.SCHEMATA for b, *_ in O.SCHEMATA if (c := O.common_schema(a, b))]
+    pairs = O.common_pairs()
     common = F.create_map(*[x for a, b, c in pairs for x in (F.lit(f"{a}|{b}"), F.lit(c))])
     start = F.struct(F.get("ms", F.lit(0))["schema"].alias("schema"), F.array().cast("array<string>").alias("kept"))
     kept = F.aggregate("ms", start, lambda acc, x: F.when(

@@ -54,14 +54,10 @@ def _prov_props(prov: str) -> Column:
 
 def build_edges(entities: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of edge entities: each source with each target, no self-loops, both ends must be nodes, one row per id."""
-    parts = []
-    for schema, (s, t, label) in O.EDGES.items():
-        e = entities.where(F.col("schema") == schema)
-        parts.append(e.select(F.col("id").alias("own"), "prov", F.lit(label).alias("type"), F.explode(F.col("props")[s]).alias("src"), F.col("props")[t].alias("ts"))
-                     .select("own", "prov", "type", "src", F.explode("ts").alias("dst")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    held = {k: F.create_map(*[x for schema, ends in O.EDGES.items() for x in (F.lit(schema), F.lit(ends[i]))]) for i, k in enumerate(("source", "target", "label"))}
+    of = {k: F.try_element_at(m, F.col("schema")) for k, m in held.items()}
+    e = entities.where(F.col("schema").isin(*O.EDGES)).select("id", "prov", of["label"].alias("type"), F.try_element_at("props", of["source"]).alias("ss"), F.try_element_at("props", of["target"]).alias("ts"))
+    rows = e.select(F.col("id").alias("own"), "prov", "type", F.explode("ss").alias("src"), "ts").select("own", "prov", "type", "src", F.explode("ts").alias("dst"))
     ids = nodes.select("id")
     rows = rows.where(F.col("src") != F.col("dst"))
     rows = rows.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
@@ -111,11 +107,13 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, entity_id: str, limit: int
 def neighbors(nodes: DataFrame, edges: DataFrame, entity_id: str, hops: int = 1, limit: int | None = 500, avoid: DataFrame | None = None) -> DataFrame:
     """Distinct nodes within 1 to ``hops`` steps (at most four), without the start; ordered by id so that a cap is stable."""
     spark = nodes.sparkSession
-    step = both_ways(edges).select("src", "dst").distinct()
+    n = clamp(hops, 1, MAX_HOPS)
+    step = both_ways(edges).select("src", "dst")
+    if n > 1:  # all hops walk one written table
+        step = table(step, "steps")
     if avoid is not None:
         step = step.join(avoid.select(F.col("id").alias("dst")), "dst", "left_anti")
     seen = front = spark.createDataFrame([(entity_id,)], "id string")
-    n = clamp(hops, 1, MAX_HOPS)
     for k in range(n):
         front = front.join(step, front["id"] == step["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         front = table(front, "front") if k + 1 < n else front  # each hop is walked once
@@ -126,7 +124,7 @@ def neighbors(nodes: DataFrame, edges: DataFrame, entity_id: str, hops: int = 1,
 
 def reach(starts: DataFrame, edges: DataFrame, hops: int, avoid: DataFrame | None = None) -> DataFrame:
     """``(start, id)``: nodes within ``hops`` steps of each start, for many starts at once."""
-    step = both_ways(edges).select("src", "dst").distinct()
+    step = table(both_ways(edges).select("src", "dst"), "steps")
     if avoid is not None:
         step = step.join(avoid.select(F.col("id").alias("dst")), "dst", "left_anti")
     front = seen = starts.select("start", F.col("start").alias("id")).distinct()
@@ -154,7 +152,7 @@ def shortest_path(edges: DataFrame, from_id: str, to_id: str, max_hops: int = MA
     Each step keeps one path per reached node, the smallest, so the frontier never exceeds the nodes.
     """
     spark = edges.sparkSession
-    step = both_ways(edges).groupBy("src", "dst").agg(F.min("type").alias("type"))
+    step = table(both_ways(edges), "steps")
     front = spark.createDataFrame([(from_id, [from_id], [])], "id string, ids array<string>, types array<string>")
     seen, goals = front.select("id"), []
     for k in range(clamp(max_hops, 1, MAX_HOPS)):

@@ -146,7 +146,7 @@ def posts(raw: DataFrame, source: str) -> DataFrame:
 
 
 def dig(raw: DataFrame, source: str) -> DataFrame:
-    ips = F.array_distinct(F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")))
+    ips = F.array_distinct(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")))
     return raw.where(F.size(ips) > 0).select(*entity("UserAccount", F.concat(F.lit("dig-"), F.sha1("key")), _props(name=_one(F.col("key")), ipAddress=ips), source))
 
 
@@ -157,7 +157,7 @@ def nmap(raw: DataFrame, source: str) -> DataFrame:
 
 def whois(raw: DataFrame, source: str) -> DataFrame:
     at = lambda p: F.nullif(F.trim(F.regexp_extract("value", p, 1)), F.lit(""))
-    org, country, domain = at(r"(?im)^\s*Registrant Organi[sz]ation:\s*(.+)$"), at(r"(?im)^\s*Registrant Country:\s*(.+)$"), at(r"(?im)^\s*Domain Name:\s*(.+)$")
+    org, country, domain = at(r"(?im)^[ \t]*Registrant Organi[sz]ation:[ \t]*(.+)$"), at(r"(?im)^[ \t]*Registrant Country:[ \t]*(.+)$"), at(r"(?im)^[ \t]*Domain Name:[ \t]*(.+)$")
     r = raw.withColumns({"org": org, "cc": country, "dom": domain}).where("org is not null")
     return r.select(*entity("Organization", F.concat(F.lit("whois-"), F.sha1(F.lower("org"))), _props(name=_one(F.col("org")), country=_one(F.lower("cc")), website=_one(F.lower("dom"))), source))
 

@@ -157,3 +157,31 @@ def train(counts: DataFrame, u: dict[str, list[float]], *, rounds: int = 25, pri
         m = {f: [x / sum(xs) for x in xs] for f, xs in acc.items()}
         p = min(0.999, max(1e-6, got / max(total, 1)))
     return m
+
+
+#: Levels of the trained comparisons, from different to equal.
+TRAINED = {"g_name": 4, "g_country": 2, "g_birth": 2, "g_wikidata": 2}
+
+
+def train_on(rows: DataFrame, *, prior: float = PRIOR, draws: int = 8, seed: int = 42) -> tuple[dict[str, list[float]], dict[str, list[float]]]:
+    """``(m, u)`` of the levels: u from pairs drawn by hash over all rows, m by expectation-maximization over the candidate pairs.
+
+    Each row is drawn with ``draws`` others, in as many deals of all rows into
+    hash buckets of about two; such pairs are unrelated but for a share too small to matter.
+    """
+    n = max(2, rows.count())
+    dealt = rows.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "_d", "id"), F.lit(max(1, n // 2))))
+    side = lambda s: dealt.select("_d", "_b", *(F.col(c).alias(c + s) for c in rows.columns))
+    drawn = side("_l").join(side("_r"), ["_d", "_b"]).where("id_l < id_r")
+
+    def levels(both: DataFrame) -> DataFrame:
+        x, y = F.col("name_fp_l"), F.col("name_fp_r")
+        return gamma_levels(both.withColumn("jw", F.coalesce(jaro_winkler(F.when(x != y, x), y), F.lit(0.0))))
+
+    u = {f: [1.0] * k for f, k in TRAINED.items()}
+    for r in levels(drawn).collect():  # at most 5 * 3**3 rows
+        for f in TRAINED:
+            if r[f] >= 0:
+                u[f][r[f]] += r["count"]
+    u = {f: [x / sum(xs) for x in xs] for f, xs in u.items()}
+    return train(levels(_block(rows, None, rows.columns)), u, prior=prior), u

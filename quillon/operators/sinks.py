@@ -1,8 +1,9 @@
 """Writers: landing, queue, dead letters, keyed upserts, logs, backup and restore.
 
 Tables are parquet folders.  An insert that ignores known keys appends the
-anti-joined rows; an update writes the new table beside the old one and moves
-it into place.
+anti-joined rows.  An updated table is a folder of numbered versions: a new one is
+written whole beside the old, and readers take the newest that is complete, so
+a crash at any moment leaves a whole table.
 """
 
 from __future__ import annotations
@@ -22,8 +23,27 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions of an updated table, oldest first."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [f.getPath() for f in fs.listStatus(p) if f.isDirectory() and f.getPath().getName().startswith("v-")]
+    done = [q.toString() for q in found if _fs(spark, q.toString() + "/_SUCCESS")[0].exists(_fs(spark, q.toString() + "/_SUCCESS")[1])]
+    return sorted(done)
+
+
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if exists(spark, path) else None
+    """A table, of an updated one the newest version; null if there is none."""
+    if held := versions(spark, path):
+        return spark.read.parquet(held[-1])
+    return spark.read.parquet(path) if exists(spark, path) and not _only_versions(spark, path) else None
+
+
+def _only_versions(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return all(n.startswith("v-") for n in names)
 
 
 def append(df: DataFrame, path: str, *partitions: str) -> None:
@@ -63,15 +83,50 @@ def enqueue(entities: DataFrame, path: str, connector: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside the table, then move into place."""
+    """Write the next version of a table, then drop those before the last; the last stays for readers that have begun."""
     spark = df.sparkSession
-    new = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}"
-    df.write.parquet(new)
-    fs, p = _fs(spark, path)
-    _, q = _fs(spark, new)
-    fs.delete(p, True)
-    if not fs.rename(q, p):
-        raise OSError(f"cannot move {new} to {path}")
+    held = versions(spark, path)
+    last = int(held[-1].rsplit("v-", 1)[1].split("-")[0]) if held else 0
+    df.write.parquet(f"{path.rstrip('/')}/v-{last + 1:012d}-{uuid.uuid4().hex[:8]}")
+    for old in held[:-1]:
+        fs, p = _fs(spark, old)
+        fs.delete(p, True)
+
+
+def delete_prefix(spark: SparkSession, root: str, prefix: str) -> int:
+    """Delete all stored objects below a prefix ``connector/dataset/``; gives their number, and raises if any stays."""
+    parts = [x for x in prefix.split("/") if x.strip()]
+    if len(parts) < 2 or ".." in parts:
+        raise ValueError("a prefix names a connector and a dataset")
+    fs, p = _fs(spark, f"{root.rstrip('/')}/{'/'.join(parts)}")
+    if not fs.exists(p):
+        return 0
+    n = int(fs.getContentSummary(p).getFileCount())
+    if not fs.delete(p, True) or fs.exists(p):
+        raise OSError(f"objects below {prefix} stay")
+    return n
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, root: str) -> None:
+    """Merge nodes and edges into the graph's tables by id: labels unite, values of a property are replaced, no row is doubled."""
+    spark = nodes.sparkSession
+    old = read_or_none(spark, f"{root}/nodes")
+    new = nodes.select("id", "labels", "props").dropDuplicates(["id"])
+    if old is not None:
+        o = old.select("id", F.col("labels").alias("_l"), F.col("props").alias("_p"))
+        j = o.join(new, "id", "full_outer")
+        kept = F.map_filter("_p", lambda k, v: ~F.array_contains(F.map_keys("props"), k))
+        # a ghost that has become an entity is a ghost no more
+        labels = F.array_distinct(F.concat("labels", F.filter("_l", lambda x: (x != "Ghost") | F.array_contains("labels", "Ghost"))))
+        ghost = F.array_contains("labels", "Ghost") & ~F.array_contains("_l", "Ghost")
+        new = j.select(
+            "id", F.when(F.col("labels").isNull() | ghost, F.col("_l")).when(F.col("_l").isNull(), F.col("labels")).otherwise(labels).alias("labels"),
+            F.when(F.col("props").isNull(), F.col("_p")).when(F.col("_p").isNull(), F.col("props")).otherwise(F.map_concat("props", kept)).alias("props"),
+        )
+    replace(new, f"{root}/nodes")
+    fresh = edges.select("edge_id", "type", "src", "dst", "props").dropDuplicates(["edge_id"])
+    held = read_or_none(spark, f"{root}/edges")
+    replace(fresh if held is None else held.join(fresh.select("edge_id"), "edge_id", "left_anti").unionByName(fresh), f"{root}/edges")
 
 
 def upsert_text(new: DataFrame, path: str) -> None:

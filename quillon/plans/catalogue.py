@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import graph_queries, log_queries, quality_queries, upkeep_queries
+from quillon.plans import graph_queries, log_queries, quality_queries, review_queries, source_queries, upkeep_queries
 
-_ALL = {k: v for m in (graph_queries, log_queries, quality_queries, upkeep_queries) for k, v in m.QUERIES.items()}
+_ALL = {k: v for m in (graph_queries, log_queries, quality_queries, upkeep_queries, review_queries, source_queries) for k, v in m.QUERIES.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

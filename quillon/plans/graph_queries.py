@@ -77,7 +77,7 @@ QUERIES = {
     "neighbors_4hop": (lambda s, d: _named(G.neighbors(A.nodes(s, d), A.edges(s, d), START, 9, None)), _hops(4)),
     "neighbors_capped": (lambda s, d: _named(G.neighbors(A.nodes(s, d), A.edges(s, d), START, 2, 20)), f"SELECT * FROM ({_hops(2)}) ORDER BY id LIMIT 20"),
     "shortest_path": (
-        lambda s, d: G.shortest_path(A.edges(s, d, False), "customer:1", START).select(F.size("types").cast("long").alias("steps"), F.array_join("ids", " ").alias("path")),
+        lambda s, d: G.shortest_path(A.edges(s, d), "customer:1", START).select(F.size("types").cast("long").alias("steps"), F.array_join("ids", " ").alias("path")),
         f"""WITH {N}, {E}, {B}, p1 AS (SELECT dst AS id, ['customer:1', dst] AS ids FROM both_ways WHERE src = 'customer:1' AND type <> 'PLACED_BY'),
         p2 AS (SELECT b.dst AS id, list_append(ids, b.dst) AS ids FROM p1 JOIN both_ways b ON b.src = p1.id AND b.type <> 'PLACED_BY'),
         p3 AS (SELECT b.dst AS id, list_append(ids, b.dst) AS ids FROM p2 JOIN both_ways b ON b.src = p2.id AND b.type <> 'PLACED_BY' WHERE b.dst NOT LIKE 'customer:%'),
@@ -86,7 +86,7 @@ QUERIES = {
         SELECT len(ids) - 1 AS steps, array_to_string(ids, ' ') AS path FROM a WHERE id = '{START}' ORDER BY len(ids), ids LIMIT 1""",
     ),
     "risk_within_2": (
-        lambda s, d: G.risk_within(_risk_nodes(s, d), A.edges(s, d, False), A.nodes(s, d).where(F.array_contains("labels", "Supplier")), 2),
+        lambda s, d: G.risk_within(_risk_nodes(s, d), A.edges(s, d), A.nodes(s, d).where(F.array_contains("labels", "Supplier")), 2),
         """WITH near AS (SELECT DISTINCT 'supplier:' || s_suppkey AS id FROM supplier JOIN customer ON c_nationkey = s_nationkey WHERE c_acctbal < 0)
         SELECT 'supplier:' || s_suppkey AS id, near.id IS NOT NULL AS flagged FROM supplier LEFT JOIN near ON near.id = 'supplier:' || s_suppkey""",
     ),
@@ -128,10 +128,6 @@ QUERIES = {
         lambda s, d: _named(G.get_entity(G.set_node_values(A.nodes(s, d), START, {"name": ["Renamed"], "gone": []}, caption="R"), START)),
         f"SELECT '{START}' AS id, 'Renamed' AS name",
     ),
-    "geo_candidates": (
-        lambda s, d: G.geo_candidates(A.nodes(s, d).withColumn("props", F.map_concat("props", F.create_map(F.lit("country"), F.array(F.lit("FR"))))), A.edges(s, d).limit(0), 40).select("id", "name", "country", "schema"),
-        f"WITH {N} SELECT id, name, 'fr' AS country, label AS schema FROM nodes ORDER BY id LIMIT 40",
-    ),
     "graph_snapshot": (
         lambda s, d: G.snapshot(A.nodes(s, d)).select("id", F.array_join("labels", ",").alias("labels"), F.array_join(F.col("props")["name"], ",").alias("name")),
         f"WITH {N} SELECT id, CASE WHEN label < 'Entity' THEN label || ',Entity' ELSE 'Entity,' || label END AS labels, name FROM nodes",

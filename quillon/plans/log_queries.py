@@ -112,14 +112,14 @@ QUERIES = {
         """WITH e AS (SELECT id, unnest(map_entries(properties)) AS e FROM ftm_entity WHERE schema_name = 'Vessel') SELECT e.key AS prop, count(DISTINCT array_to_string(list_sort(e.value), '; ')) <= 1 AS agrees, count(DISTINCT array_to_string(list_sort(e.value), '; ')) AS n FROM e WHERE len(e.value) > 0 GROUP BY e.key""",
     ),
     "divergence": (
-        lambda s, d: R.divergence(_live_nodes(s, d), A.edges(s, d, False), _fold_nodes(s, d).where("id != 'supplier:9'"), A.edges(s, d, False).where("type != 'PART_OF'"), _closure(s, d)),
+        lambda s, d: R.divergence(_live_nodes(s, d), A.edges(s, d), _fold_nodes(s, d).where("id != 'supplier:9'"), A.edges(s, d).where("type != 'PART_OF'"), _closure(s, d)),
         f"""WITH {CL}, {FOLD}, {LIVE}, f AS (SELECT DISTINCT id, prop, value FROM folded WHERE id <> 'supplier:9')
         SELECT 'missing_nodes' AS what, count(DISTINCT live.id) AS n FROM live WHERE survivor NOT IN (SELECT id FROM f)
         UNION ALL SELECT 'stale_nodes', count(DISTINCT live.id) FROM live WHERE survivor IN (SELECT id FROM f) AND NOT EXISTS (SELECT 1 FROM f WHERE f.id = survivor AND f.prop = live.prop AND f.value = live.value)
         UNION ALL SELECT 'missing_edges', count(*) FROM nation""",
     ),
     "fold_extras": (
-        lambda s, d: R.fold_extras(_live_nodes(s, d), A.edges(s, d, False), _fold_nodes(s, d), A.edges(s, d, False), _closure(s, d))[0],
+        lambda s, d: R.fold_extras(_live_nodes(s, d), A.edges(s, d), _fold_nodes(s, d), A.edges(s, d), _closure(s, d))[0],
         "SELECT 'part:' || p_partkey AS id FROM part",
     ),
     "copresent_values": (

@@ -45,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="quillon-"))
         base = base if "://" in base else f"file://{base}"
     return f"{base.rstrip('/')}/quillon-{app}"

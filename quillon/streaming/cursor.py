@@ -15,34 +15,47 @@ from quillon.operators.claims import alias_closure, fold_since
 
 
 class _Reader(SimpleDataSourceStreamReader):
-    """Windows of at most ``max_events`` events of a JSON-lines log; the offset is the cursor of the last event."""
+    """Windows of at most ``max_events`` events of a JSON-lines log, in the log's order.
+
+    The offset is the byte behind the last line that was read, with the time of
+    the newest event: equal times, late events and a window's end between two of
+    them lose nothing, and no batch reads the log from its start.  A line that the
+    writer has not finished is left for the next batch.  ``since`` skips events up to that time.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
         self.most = int(options.get("max_events", 500))
+        self.since = int(options.get("since", -1))
 
     def initialOffset(self) -> dict:
-        return {"cursor": -1}
-
-    def _events(self, after: int, most: int) -> Iterator[tuple[int, str]]:
-        with open(self.path, encoding="utf-8") as f:
-            for line in f:
+        return {"byte": 0, "cursor": self.since}
+
+    def _events(self, start: int, end: int | None, most: int) -> tuple[list[tuple[int, str]], int]:
+        rows: list[tuple[int, str]] = []
+        with open(self.path, "rb") as f:
+            f.seek(start)
+            at = start
+            while most > 0 and (end is None or at < end):
+                line = f.readline()
+                if not line.endswith(b"\n"):
+                    break
+                at += len(line)
                 try:
-                    at = int(json.loads(line)["time_us"])
+                    time = int(json.loads(line)["time_us"])
                 except (ValueError, KeyError, TypeError):
                     continue
-                if at > after:
-                    yield at, line.strip()
+                if time > self.since:
+                    rows.append((time, line.decode("utf-8").strip()))
                     most -= 1
-                    if not most:
-                        return
+        return rows, at
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = list(self._events(start["cursor"], self.most))
-        return iter(rows), {"cursor": rows[-1][0] if rows else start["cursor"]}
+        rows, at = self._events(start["byte"], None, self.most)
+        return iter(rows), {"byte": at, "cursor": max([start["cursor"], *(t for t, _ in rows)])}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for r in self._events(start["cursor"], 1 << 60) if r[0] <= end["cursor"]])
+        return iter(self._events(start["byte"], end["byte"], 1 << 60)[0])
 
 
 class EventLog(DataSource):
@@ -80,8 +93,8 @@ def project(spark: SparkSession, claims: str, ledger: DataFrame, target: str, st
     """
     log = spark.read.parquet(claims)
     mark = -1
-    if not full and sinks.exists(spark, state):
-        mark = spark.read.parquet(state).agg(F.max("seq")).first()[0]
+    if not full and sinks.versions(spark, state):
+        mark = sinks.read_or_none(spark, state).agg(F.max("seq")).first()[0]
     new = log.where(F.col("seq") > mark).agg(F.count(F.lit(1)), F.max("seq")).first()
     if not new[0]:
         return 0

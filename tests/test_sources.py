@@ -98,8 +98,22 @@ def test_queue_and_upsert(spark, tmp_path):
     new = lambda text, err: spark.createDataFrame([("a", "u", text, "p", err)], "entity_id string, url string, text string, raw_pointer string, last_error string")
     W.upsert_text(new("one", None), t)
     W.upsert_text(new("", "boom"), t)
-    r = spark.read.parquet(t).first()
+    r = W.read_or_none(spark, t).first()
     assert (r.text, r.attempts, r.last_error) == ("one", 2, "boom")
+    # a version that a crash has left unfinished is not read, and the next one follows the last whole one
+    spark.createDataFrame([("broken",)], "entity_id string").write.parquet(f"{t}/v-000000000009-x")
+    (tmp_path / "t" / "v-000000000009-x" / "_SUCCESS").unlink()
+    assert W.read_or_none(spark, t).first().attempts == 2
+    W.upsert_text(new("two", None), t)
+    assert (W.read_or_none(spark, t).first().text, W.read_or_none(spark, t).count()) == ("two", 1)
+
+
+def test_delete_prefix(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "root" / "feeds" / "a"))
+    assert W.delete_prefix(spark, str(tmp_path / "root"), "feeds/a/") > 0 and W.delete_prefix(spark, str(tmp_path / "root"), "feeds/a/") == 0
+    for bad in ("feeds", "feeds/", "a/../b"):
+        with pytest.raises(ValueError):
+            W.delete_prefix(spark, str(tmp_path / "root"), bad)
 
 
 def test_backup(spark, tmp_path):
@@ -128,6 +142,23 @@ def test_stream_resumes_and_repeats_nothing(spark, tmp_path):
     assert n >= 1 and spark.read.parquet(q).count() == 3
 
 
+def test_stream_loses_no_equal_or_late_events(tmp_path):
+    lines = [json.dumps({"time_us": t, "n": i}) for i, t in enumerate([5, 5, 5, 3, 6, 6])]
+    log = put(tmp_path, "log.json", "\n".join(lines) + "\n" + '{"time_us": 7, "n"')
+    r = T._Reader({"path": log, "max_events": "2"})
+    at, got = r.initialOffset(), []
+    for _ in range(5):
+        rows, end = r.read(at)
+        rows = list(rows)
+        assert rows == list(r.readBetweenOffsets(at, end))
+        got += [json.loads(v)["n"] for _, v in rows]
+        at = end
+    assert got == [0, 1, 2, 3, 4, 5] and at["cursor"] == 6
+    with open(log, "a") as f:
+        f.write(": 6}\n")
+    assert [json.loads(v)["n"] for _, v in r.read(at)[0]] == [6]
+
+
 def test_projection(spark, tmp_path):
     from tests.test_claims import LOG
     from quillon.schema import CLAIM
@@ -138,6 +169,6 @@ def test_projection(spark, tmp_path):
     assert T.project(spark, log, ledger, target, state) == 2 and T.project(spark, log, ledger, target, state) == 0
     spark.createDataFrame(LOG[2:], CLAIM).write.mode("append").parquet(log)
     assert T.project(spark, log, ledger, target, state) == 4
-    step = {r.id: r.props for r in spark.read.parquet(target).collect()}
+    step = {r.id: r.props for r in W.read_or_none(spark, target).collect()}
     T.project(spark, log, ledger, target, state, full=True)
-    assert step == {r.id: r.props for r in spark.read.parquet(target).collect()}
+    assert step == {r.id: r.props for r in W.read_or_none(spark, target).collect()}
