@@ -6,8 +6,8 @@ one shape close to each other, are tied by smoothness edges.  The maximum flow
 separates article from boilerplate.
 
 The classifier is a logistic regression over the line's form, its place in the
-page, words that pages use about themselves, and how many hosts carry the same
-line.  It is fitted to lines whose label the form makes all but certain, on a
+page, words that pages use about themselves, how many hosts carry the same
+line, and on how many pages of its own host it recurs.  It is fitted to lines whose label the form makes all but certain, on a
 bounded sample of pages (about ``SAMPLE`` pages); the counts of lines are taken over
 all pages.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,13 +104,16 @@ def template(line: str) -> str:
     return _DIGITS.sub("#", " ".join(line.lower().split()))
 
 
+@lru_cache(1 << 16)
 def cue(t: str) -> int:
     """0 none, 1 end of the article, 2 about the page, 3 about the article, 4 within the article."""
     t = t.replace("’", "'").strip()
     return 1 if _END.fullmatch(t) else 2 if _PAGE.fullmatch(t) else 3 if _META.fullmatch(t) else 4 if _INLINE.fullmatch(t) else 0
 
 
-FEATURES = 20
+FEATURES = 22
+#: Share of its host's pages from which on a line is the site's, if it is on three pages at least.
+OWN = 0.3
 #: Hosts per thousand from which on a line is common to many sites.
 COMMON = 20
 _FIRST = re.compile(r"(.+?[.!?。])(?:\s|$)")
@@ -143,8 +147,8 @@ def learn_titles(titles: list[str], prose: list[str]) -> dict[str, float]:
 class Page:
     """The non-blank lines of a page with what can be told of each by itself."""
 
-    def __init__(self, lines: list[str], host: str, hosts: list[int], titles: dict[str, float]):
-        self.lines, self.hosts = lines, hosts
+    def __init__(self, lines: list[str], host: str, hosts: list[float], titles: dict[str, float], own: list[float] | None = None):
+        self.lines, self.hosts, self.own = lines, hosts, own or [0.0] * len(lines)
         self.n = n = len(lines)
         self.t = t = [template(x) for x in lines]
         self.cue = [cue(x) for x in t]
@@ -217,13 +221,13 @@ def describe(page: Page) -> tuple[np.ndarray, np.ndarray]:
             1, c == 1, c == 2, c == 3, c == 4, page.list[i], page.numbered[i] and page.title[i] > 0, page.stop[i], min(4.0, np.log1p(page.words[i])),
             i < page.head or page.head < 0 and i < page.first, head, bool(_YOU.search(t[i])), page.site[i], many * (not c and inside),
             many * (not inside), page.crumb[i], min(4.0, max(0.0, page.title[i])) * title, min(4.0, max(0.0, -page.title[i])) * prose,
-            page.near[i] * title, not inside and not prose and i > page.last,
+            page.near[i] * title, not inside and not prose and i > page.last, page.own[i] * (not inside), page.own[i] * (inside and not c),
         )
         if c or page.list[i] or page.site[i] or page.crumb[i] or i < page.head or page.numbered[i] and page.title[i] > 0:
             y[i] = 1
         elif head or page.plain[i]:
             y[i] = 0
-        elif title and page.title[i] > 2:
+        elif title and page.title[i] > 2 or page.own[i] >= OWN and not prose:
             y[i] = 1
         elif inside and page.hosts[i] >= COMMON:
             y[i] = 0
@@ -292,9 +296,9 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
             b = a
 
 
-def label(lines: list[str], host: str, hosts: list[int], w: np.ndarray, titles: dict[str, float], *, tie: float = 0.4) -> list[bool]:
+def label(lines: list[str], host: str, hosts: list[float], w: np.ndarray, titles: dict[str, float], own: list[float] | None = None, *, tie: float = 0.4) -> list[bool]:
     """Whether each non-blank line of a page is boilerplate."""
-    page = Page(lines, host, hosts, titles)
+    page = Page(lines, host, hosts, titles, own)
     x, _ = describe(page)
     cost = np.clip(x @ w, -6, 6)
     n = len(lines)
@@ -332,40 +336,52 @@ def boilerplate_lines(pages: DataFrame, id_col: str = "entity_id", url_col: str
                 ts += mine
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.string()), pa.array(ts, pa.string())], ["host", "t"])
 
-    lines = base.select("url", "text").mapInArrow(explode, "host string, t string").select(F.xxhash64("t").alias("h"), F.xxhash64("host").alias("host"))
-    # hosts per thousand that carry a line, of all pages; lines of one host only have 0
-    lines = table(lines.distinct(), "lines")
-    hosts = max(1, lines.select("host").distinct().count())
-    per_mille = F.round(F.col("count") * 1000 / hosts).cast("int")
-    known = table(lines.groupBy("h").count().where("count > 1").select("h", per_mille.alias("n")).where("n > 0"), "line_hosts")
+    # equal texts of a url are one page, told by a digest of 128 bits
+    page = F.md5(F.concat_ws("\0", F.coalesce("url", F.lit("")), "text")).alias("page")
+    once = table(deal(base.groupBy(page).agg(F.any_value("url").alias("url"), F.any_value("text").alias("text"))), "pages")
+    def sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_host(u) for u in b.column(0).to_pylist()], pa.string())], ["host"])
+
+    lines = once.select("url", "text").mapInArrow(explode, "host string, t string").select(F.xxhash64("t").alias("h"), F.xxhash64("host").alias("host"))
+    # pages of each host that carry a line; a line alone on its page tells nothing and is left out
+    per_host = table(lines.groupBy("h", "host").agg(F.count(F.lit(1)).alias("pages")), "lines")
+    n_hosts = once.select("url").mapInArrow(sites, "host string")
+    sizes = n_hosts.groupBy(F.xxhash64("host").alias("host")).agg(F.count(F.lit(1)).alias("of"))
+    hosts = max(1, per_host.select("host").distinct().count())
+    many = per_host.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") * 1000.0 / hosts).alias("n"))
+    own = per_host.where("pages > 2").join(sizes, "host").select("h", "host", (F.col("pages") / F.col("of")).alias("own"))
+    many, own = table(many, "line_hosts"), table(own, "line_homes")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ps, ts, ns = [], [], []
-            for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ps, hs, ts, ns = [], [], [], []
+            for p, u, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+                host = _host(u)
                 for k, (_, x) in enumerate(_lines(t)):
                     ps.append(p)
+                    hs.append(host)
                     ts.append(template(x))
                     ns.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int64()), pa.array(ts, pa.string()), pa.array(ns, pa.int32())], ["page", "t", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.string()), pa.array(hs, pa.string()), pa.array(ts, pa.string()), pa.array(ns, pa.int32())], ["page", "host", "t", "k"])
 
-    # equal texts of a host are one page
-    page = F.xxhash64("url", "text").alias("page")
-    once = table(deal(base.groupBy(page).agg(F.first("url").alias("url"), F.first("text").alias("text"))), "pages")
-    counted = once.select("page", "text").mapInArrow(hashes, "page long, t string, k int").select("page", "k", F.xxhash64("t").alias("h")).join(known, "h")
-    met = counted.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("hosts"))
+    counted = once.select("page", "url", "text").mapInArrow(hashes, "page string, host string, t string, k int").select("page", "k", F.xxhash64("t").alias("h"), F.xxhash64("host").alias("host"))
+    # one row a line in either table, so a line that is everywhere multiplies nothing
+    one = counted.join(many, "h", "left").join(own, ["h", "host"], "left").where("n is not null or own is not null").select("page", "k", F.coalesce("n", F.lit(0.0)).alias("n"), "own")
+    met = one.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("n", F.coalesce("own", F.lit(0.0)).alias("own"))))).alias("hosts"))  # a page's lines
     ready = table(once.join(met, "page", "left"), "ready")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, list[int], list[str], dict]]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, list[int], list[str], list[float], list[float]]]:
         for b in batches:
             for p, u, t, m in zip(*(b.column(c).to_pylist() for c in ("page", "url", "text", "hosts"))):
                 ls = _lines(t)
                 m = dict(m or ())
-                yield p, _host(u), [i for i, _ in ls], [x for _, x in ls], [m.get(k, 0) for k in range(len(ls))]
+                seen = [m.get(k) or {"n": 0.0, "own": 0.0} for k in range(len(ls))]
+                yield p, _host(u), [i for i, _ in ls], [x for _, x in ls], [x["n"] for x in seen], [x["own"] for x in seen]
 
     def headings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, host, _, ls, hs in rows(batches):
-            p = Page(ls, host, hs, {})
+        for _, host, _, ls, hs, own in rows(batches):
+            p = Page(ls, host, hs, {}, own)
             if p.named >= 0:
                 yield pa.RecordBatch.from_arrays([pa.array([p.t[p.named]]), pa.array([[p.t[i] for i in range(p.named + 1, p.n) if p.plain[i]]], pa.list_(pa.string()))], ["title", "prose"])
 
@@ -376,8 +392,8 @@ def boilerplate_lines(pages: DataFrame, id_col: str = "entity_id", url_col: str
     titles = learn_titles(t.column("title").to_pylist(), [p for ps in t.column("prose").to_pylist() for p in ps])
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, host, _, ls, hs in rows(batches):
-            x, y = describe(Page(ls, host, hs, titles))
+        for _, host, _, ls, hs, own in rows(batches):
+            x, y = describe(Page(ls, host, hs, titles, own))
             keep = y >= 0
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(list(x[keep]), pa.list_(pa.float32())), pa.array(y[keep].astype(np.int32))], ["x", "y"])
@@ -388,13 +404,13 @@ def boilerplate_lines(pages: DataFrame, id_col: str = "entity_id", url_col: str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ps, ns = [], []
-        for p, host, nos, ls, hs in rows(batches):
+        for p, host, nos, ls, hs, own in rows(batches):
             ps.append(p)
-            ns.append([no for no, bad in zip(nos, label(ls, host, hs, w, titles)) if bad])
+            ns.append([no for no, bad in zip(nos, label(ls, host, hs, w, titles, own)) if bad])
             if len(ps) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int64()), pa.array(ns, pa.list_(pa.int64()))], ["page", "lines"])
+                yield pa.RecordBatch.from_arrays([pa.array(ps, pa.string()), pa.array(ns, pa.list_(pa.int64()))], ["page", "lines"])
                 ps, ns = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int64()), pa.array(ns, pa.list_(pa.int64()))], ["page", "lines"])
+        yield pa.RecordBatch.from_arrays([pa.array(ps, pa.string()), pa.array(ns, pa.list_(pa.int64()))], ["page", "lines"])
 
-    cuts = ready.select(*fields).mapInArrow(cut, "page long, lines array<bigint>")
+    cuts = ready.select(*fields).mapInArrow(cut, "page string, lines array<bigint>")
     return base.select("id", page).join(cuts, "page").select(F.col("id").alias("entity_id"), F.explode("lines").alias("line_no"))
