@@ -229,6 +229,8 @@ def describe(page: Page) -> tuple[np.ndarray, np.ndarray]:
             y[i] = 0
         elif title and page.title[i] > 2 or page.own[i] >= OWN and not prose:
             y[i] = 1
+        elif not inside and not prose and page.hosts[i] > 0:  # on several hosts, outside of what is surely the article
+            y[i] = 1
         elif inside and page.hosts[i] >= COMMON:
             y[i] = 0
     return x, y
