@@ -17,7 +17,7 @@ their copies get the result by a join of these.  Each text is split and its term
 are hashed once; the passes work on whole batches of rows at a time.
 
 The component matrix has a fixed size (``(subjects + FREE) * BLOCKS * TERMS``
-floats, 33 MB for ten subjects, whatever the size of the corpus); terms that share
+floats, 16 MB for ten subjects, whatever the size of the corpus); terms that share
 a column count as one, which the weights by specificity make harmless unless both
 are frequent.  The tasks' parts of the sums are added up in a tree of two levels.
 """
@@ -39,7 +39,7 @@ from quillon.llm.text import fold, mend
 from quillon.runtime import deal, drop_table, table
 
 #: Columns of the hashed term matrix in each language's block.
-TERMS = 1 << 16
+TERMS = 1 << 15
 # Frequent function words of languages written in Latin letters, without accents.
 FUNCTION_WORDS = {
     "en": "the of and to in is was that for on with as at by it from are not be were have has had their which this won't isn't didn't nobody who after".split(),
@@ -321,8 +321,8 @@ def learn(coded: DataFrame, n_sub: int, *, rounds: int = 6) -> tuple[np.ndarray,
         g = both[k:, : BLOCKS * k].reshape(k, BLOCKS, k)
         for x in range(BLOCKS):
             h[:, x] *= both[:k, x * TERMS : (x + 1) * TERMS] / (g[:, x] @ h[:, x] + 1e-6)
-        shared.unpersist()
-    shared_idf.unpersist()
+        shared.destroy()  # the round has been summed; its file on the driver goes too
+    shared_idf.destroy()
     return _scaled(h).astype(np.float32), idf
 
 
