@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon import ontology as O
 from quillon.functions.python_udfs import jaro_winkler, name_fingerprint
 from quillon.functions.scalars import first_value
+from quillon.runtime import table
 from quillon.schema import ANCHORS
 
 PRIOR = 0.001
@@ -41,9 +44,17 @@ def flatten(entities: DataFrame) -> DataFrame:
     )
 
 
+def _named_keys(keys: dict[str, Column] | None) -> dict[str, Column]:
+    return keys or {"c": F.col("country"), "n": F.when(F.col("name_fp") != "", F.substring("name_fp", 1, 4)), "w": F.col("wikidata_id")}
+
+
 def _keys(keys: dict[str, Column] | None) -> Column:
-    keys = keys or {"c": F.col("country"), "n": F.when(F.col("name_fp") != "", F.substring("name_fp", 1, 4)), "w": F.col("wikidata_id")}
-    return F.array_compact(F.array(*(F.when(k.isNotNull(), F.concat(F.lit(f"{t}:"), k)) for t, k in keys.items())))
+    return F.array_compact(F.array(*(F.when(k.isNotNull(), F.concat(F.lit(f"{t}:"), k)) for t, k in _named_keys(keys).items())))
+
+
+def _parts(rows: DataFrame) -> int:
+    spark = rows.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _block(rows: DataFrame, keys: dict[str, Column] | None, columns: list[str], block_rows: int = 1000) -> DataFrame:
@@ -61,7 +72,7 @@ def _block(rows: DataFrame, keys: dict[str, Column] | None, columns: list[str],
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     side = lambda s, salt: k.select("k", salt.alias("salt"), *(F.col(c).alias(c + s) for c in (*columns, "ks")))
-    n = max(2 * rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = _parts(rows)
     first = F.get(F.array_intersect("ks_l", "ks_r"), F.lit(0))
     # few rows make many pairs: the number of parts follows the pairs, not the bytes of the rows
     l, r = side("_l", own).repartition(n, "k", "salt"), side("_r", every).repartition(n, "k", "salt")
@@ -73,6 +84,41 @@ def candidate_pairs(rows: DataFrame, keys: dict[str, Column] | None = None) -> D
     return _block(rows, keys, ["id"])
 
 
+def count_pairs(rows: DataFrame, by: Column, keys: dict[str, Column] | None = None) -> DataFrame:
+    """``(by, n)``: the number of distinct pairs of :func:`candidate_pairs` by an expression of the smaller id, without making the pairs.
+
+    The pairs that share any key are those that share a set of keys, summed over
+    all sets with the sign of inclusion and exclusion.  A row has as many pairs
+    under a set as rows with greater ids have its values: ids are laid out in
+    ranges, a row is numbered within its range and the counts of later ranges are
+    added.  The work is in proportion to the rows.  Ids with several key sets,
+    which this rule would count twice, are joined with their partners instead.
+    """
+    names = _named_keys(keys)
+    flat = rows.where("id is not null").select("id", F.array(*names.values()).alias("ks")).groupBy("id").agg(F.collect_set("ks").alias("kss"))
+    ranged = flat.repartitionByRange(_parts(rows), "id").withColumn("part", F.spark_partition_id())
+    held = table(ranged.select("id", by.alias("by"), "part", F.size("kss").alias("many"), F.explode("kss").alias("ks")), "ranged")
+
+    at = range(len(names))
+    sets = [c for k in at for c in combinations(at, k + 1)]
+    value = lambda c: [F.col("ks")[i] for i in c]
+    whole = lambda c: F.when(~F.array_contains(F.transform(F.array(*value(c)), lambda v: v.isNull()), True), F.struct(F.lit(1 if len(c) % 2 else -1).alias("sign"), F.array(F.lit(str(sets.index(c))), *value(c)).alias("key")))
+    one = held.where("many = 1").select("part", "id", "by", F.inline(F.array_compact(F.array(*map(whole, sets)))))
+    numbered = one.withColumn("k", F.row_number().over(W.partitionBy("part", "key").orderBy(F.desc("id"))) - 1)
+    cells = table(numbered.groupBy("part", "key", "sign", "by").agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("k")), "cells")
+    after = W.partitionBy("key").orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
+    later = cells.groupBy("part", "key").agg(F.sum("rows").alias("rows")).select("part", "key", F.coalesce(F.sum("rows").over(after), F.lit(0)).alias("later"))
+    n = F.sum(F.col("sign") * (F.col("k") + F.col("rows") * F.col("later"))).alias("n")
+    single = cells.join(later, ["part", "key"]).groupBy("by").agg(n)
+
+    keyed = held.select("id", "by", "many", F.posexplode("ks").alias("t", "k")).where("k is not null")
+    side = lambda df, s: df.select("t", "k", *(F.col(c).alias(c + s) for c in ("id", "by", "many")))
+    met = side(keyed.where("many > 1"), "_a").join(side(keyed, "_b"), ["t", "k"]).where("id_a <> id_b")
+    least = F.col("id_a") < F.col("id_b")
+    pairs = met.select(F.least("id_a", "id_b").alias("l"), F.greatest("id_a", "id_b").alias("r"), F.when(least, F.col("by_a")).otherwise(F.col("by_b")).alias("by")).distinct()
+    return single.unionByName(pairs.groupBy("by").agg(F.count(F.lit(1)).alias("n"))).groupBy("by").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def _factor(level: tuple[float, float]) -> Column:
     return F.lit(level[0] / level[1])
 

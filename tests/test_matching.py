@@ -46,6 +46,25 @@ def test_blocking_salts_hot_keys(spark):
     assert pairs.count() == pairs.distinct().count() == 60 * 59 // 2
 
 
+def test_pairs_are_counted_without_making_them(spark, tmp_path):
+    from quillon.plans.quality_queries import QUERIES
+
+    q = QUERIES["blocked_pairs"][0]
+    company = lambda rows: rows.selectExpr("id", "name", "land AS jurisdiction_code", "'2000' AS incorporation_date", "'' AS company_number")
+    rows = [(f"c{i % 90:02d}" if i else None, None if i % 11 == 0 else f"{'abcde'[i % 5]}xyz z{i}", None if i % 7 == 0 else ["fr", "de", ""][i % 3]) for i in range(120)]
+    some = company(spark.createDataFrame(rows, "id string, name string, land string"))
+    some.unionByName(some).write.parquet(f"{tmp_path}/some/company.parquet")  # rows repeated, and ids with several keys
+    want = {}
+    for x in {(i, j) for i, n, c in rows for j, m, e in rows if i and j and i < j and (c and c == e or n and m and n[:4] == m[:4])}:
+        want[x[0][-1]] = want.get(x[0][-1], 0) + 1
+    assert {r["last"]: r.n for r in q(spark, f"{tmp_path}/some").collect()} == want
+    many = 300_000  # 45 thousand million pairs of one block
+    company(spark.range(many).selectExpr("format_string('%07d', id) AS id", "'n' AS name", "'fr' AS land")).write.parquet(f"{tmp_path}/many/company.parquet")
+    assert sum(r.n for r in q(spark, f"{tmp_path}/many").collect()) == many * (many - 1) // 2
+    some.limit(0).write.parquet(f"{tmp_path}/none/company.parquet")
+    assert q(spark, f"{tmp_path}/none").count() == 0
+
+
 def clusters(spark, ids, pairs, judgements=None):
     e = spark.createDataFrame([(i,) for i in ids], "id string")
     p = spark.createDataFrame(pairs, "left_id string, right_id string, probability double")
