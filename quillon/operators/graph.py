@@ -122,28 +122,28 @@ def neighbors(nodes: DataFrame, edges: DataFrame, entity_id: str, hops: int = 1,
     return out if limit is None else out.orderBy("id").limit(limit)
 
 
-def reach(starts: DataFrame, edges: DataFrame, hops: int, avoid: DataFrame | None = None) -> DataFrame:
-    """``(start, id)``: nodes within ``hops`` steps of each start, for many starts at once."""
-    step = table(both_ways(edges).select("src", "dst"), "steps")
-    if avoid is not None:
-        step = step.join(avoid.select(F.col("id").alias("dst")), "dst", "left_anti")
-    front = seen = starts.select("start", F.col("start").alias("id")).distinct()
-    n = clamp(hops, 1, MAX_HOPS)
-    for k in range(n):
-        nxt = front.join(step, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
-        front = nxt.join(seen, ["start", "id"], "left_anti")
-        front = table(front, "front") if k + 1 < n else front
-        seen = seen.unionByName(front)
-    return seen.where(F.col("start") != F.col("id"))
-
-
 def risk_within(nodes: DataFrame, edges: DataFrame, members: DataFrame, hops: int = 1) -> DataFrame:
-    """``(id, flagged)``: whether a path of at most ``hops`` steps without ghosts leads to a node with a risk label."""
-    ghosts = nodes.where(F.array_contains("labels", "Ghost")).select("id")
+    """``(id, flagged)``: whether a path of at most ``hops`` steps without ghosts leads to another node with a risk label.
+
+    The walk goes backwards from the risky nodes.  A node keeps the least and the
+    greatest of the risky ids that it reaches, which tells whether any is not the
+    node itself, so a round has a row a node and never a row a pair.
+    """
+    ghosts = nodes.where(F.array_contains("labels", "Ghost")).select(F.col("id").alias("dst")).distinct()
     labels = [F.lit("".join(p.title() for p in r.split("."))) for r in O.RISKS]
-    risky = nodes.where(F.arrays_overlap("labels", F.array(*labels))).select("id")
-    hit = reach(members.select(F.col("id").alias("start")), edges, hops, ghosts).join(risky, "id", "left_semi").select(F.col("start").alias("id")).distinct()
-    return members.select("id").distinct().join(hit.withColumn("flagged", F.lit(True)), "id", "left").select("id", F.coalesce("flagged", F.lit(False)).alias("flagged"))
+    risky = nodes.where(F.arrays_overlap("labels", F.array(*labels)) & F.col("id").isNotNull()).select("id").distinct()
+    starts = table(members.select("id").distinct(), "members")
+    held = table(risky.select("id", F.col("id").alias("lo"), F.col("id").alias("hi")), "risks")
+    n = clamp(hops, 1, MAX_HOPS)
+    for k in range(n):
+        step = both_ways(edges).select("src", "dst")
+        if k + 1 == n:  # the last step is asked for the members only
+            step = step.join(starts.select(F.col("id").alias("src")), "src", "left_semi")
+        ends = held.select(F.col("id").alias("dst"), "lo", "hi").join(ghosts, "dst", "left_anti")
+        near = step.join(ends, "dst").select(F.col("src").alias("id"), "lo", "hi")
+        held = table(held.unionByName(near).groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "risks")
+    hit = held.where((F.col("lo") != F.col("id")) | (F.col("hi") != F.col("id"))).select("id", F.lit(True).alias("flagged"))
+    return starts.join(hit, "id", "left").select("id", F.coalesce("flagged", F.lit(False)).alias("flagged"))
 
 
 def shortest_path(edges: DataFrame, from_id: str, to_id: str, max_hops: int = MAX_HOPS) -> DataFrame:

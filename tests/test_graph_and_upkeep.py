@@ -50,6 +50,32 @@ def test_reads(spark):
     assert s["count"] == 6 and s.sample == ['{"id":"a"}', '{"id":"b"}']
 
 
+def test_risk_of_a_hub_is_kept_by_node(spark, monkeypatch):
+    ids = [f"m{i}" for i in range(300)]
+    risky = {"m3", "m250", "far", "gr"}
+    ghosts = {"gr", "g"}
+    label = lambda i: ["Entity", *(["Sanction"] if i in risky else []), *(["Ghost"] if i in ghosts else [])]
+    n = spark.createDataFrame([(i, label(i), {}) for i in [*ids, "hub", "far", "gr", "g", "a", "b", "lone"]], "id string, labels array<string>, props map<string,array<string>>")
+    links = [(i, "hub") for i in ids] + [("g", "a"), ("far", "g"), ("b", "gr"), ("far", "lone"), ("lone", "lone")]
+    e = spark.createDataFrame([("x", a, b, f"{a}|{b}") for a, b in links], "type string, src string, dst string, edge_id string")
+    written = []
+    held = G.table
+    monkeypatch.setattr(G, "table", lambda df, name="t": (t := held(df, name), written.append(t.count()))[0])
+    got = {r.id: r.flagged for r in G.risk_within(n, e, n.select("id"), 3).collect()}
+    near: dict[str, set[str]] = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for i in got:
+        seen = front = {i}
+        for _ in range(3):
+            front = {y for x in front for y in near.get(x, ()) if y not in ghosts} - seen
+            seen = seen | front
+        assert got[i] == bool((seen - {i}) & risky), i
+    assert got["m3"] and got["g"] and not got["a"] and not got["b"] and not got["far"]
+    assert max(written) <= 4 * len(links)  # a table of pairs would have 300 * 300 rows
+
+
 def test_points_after_limit(spark):
     rows = spark.createDataFrame([("1", "10", "20", "fr"), ("2", "x", None, "fr"), ("3", None, None, "??"), ("4", "80", "170", None)], "id string, lat string, lon string, country string")
     cent = spark.createDataFrame([("fr", 46.0, 2.0)], "country string, c_lat double, c_lon double")
