@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon import ontology as O
-from quillon.functions.python_udfs import jaro_winkler, name_fingerprint
+from quillon.functions.python_udfs import Spellings, jaro_winkler, name_fingerprint
 from quillon.functions.scalars import first_value
 from quillon.runtime import table
 from quillon.schema import ANCHORS
@@ -182,6 +184,61 @@ def gamma_levels(both: DataFrame) -> DataFrame:
     return both.groupBy(name.alias("g_name"), eq("country").alias("g_country"), eq("birth_date").alias("g_birth"), eq("wikidata_id").alias("g_wikidata")).count()
 
 
+def _cell_levels(cell: pa.Table) -> pa.Table:
+    """Counts of the comparison levels over the pairs of one cell of a block."""
+    col = {c: cell.column(c).to_pylist() for c in ("id", "p", "name_fp", *FIELDS)}
+    code = lambda vs: np.array([d.setdefault(v, len(d)) if v is not None else -1 for d in [{}] for v in vs], np.int64)
+    rank = {v: k for k, v in enumerate(sorted(set(col["id"])))}
+    order, part = np.array([rank[v] for v in col["id"]]), np.array(col["p"])
+    known = {c: code(col[c]) for c in ("name_fp", *FIELDS)}
+    name, spelled = known["name_fp"], Spellings([v or "" for v in col["name_fp"]])
+    t, i, j = (cell.column(c)[0].as_py() for c in ("t", "i", "j"))
+    keys = [code(k) for k in list(zip(*cell.column("ks").to_pylist()))[:t]]
+    a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    total = np.zeros(5 * 3 ** len(FIELDS), np.int64)
+    step = max(1, (1 << 20) // max(1, len(b)))
+    for lo in range(0, len(a), step):
+        x, y = a[lo : lo + step], b
+        keep = order[x][:, None] < order[y][None, :] if i == j else order[x][:, None] != order[y][None, :]
+        for k in keys:  # the pairs that share an earlier key are counted there
+            keep &= (k[x][:, None] != k[y][None, :]) | (k[x] < 0)[:, None]
+        kind = np.zeros(keep.shape, np.int16)
+        for f in FIELDS:
+            eq = (known[f][x][:, None] == known[f][y][None, :]).astype(np.int16) + 1
+            eq[known[f][x] < 0] = 0
+            eq[:, known[f][y] < 0] = 0
+            kind = kind * 3 + eq
+        level = np.where(name[x][:, None] == name[y][None, :], 4, 1).astype(np.int16)
+        level[name[x] < 0] = 0
+        level[:, name[y] < 0] = 0
+        r, c = np.nonzero(keep & (level == 1) & spelled.may_reach(x, y, NAME_EDGES[1]))
+        p, q = x[r], y[c]
+        first = order[p] < order[q]
+        jw = spelled.jaro_winkler(np.where(first, p, q), np.where(first, q, p), NAME_EDGES[1])
+        level[r, c] += (jw >= NAME_EDGES[1]).astype(np.int16) + (jw >= NAME_EDGES[0])
+        total += np.bincount((level * 3 ** len(FIELDS) + kind)[keep], minlength=len(total))
+    at = np.flatnonzero(total)
+    cols = [at // 3 ** len(FIELDS) - 1, *(at // 3 ** (len(FIELDS) - 1 - k) % 3 - 1 for k in range(len(FIELDS)))]
+    return pa.Table.from_arrays([*(pa.array(v, pa.int32()) for v in cols), pa.array(total[at], pa.int64())], names=[*TRAINED, "n"])
+
+
+def block_levels(rows: DataFrame, block_rows: int = 4000) -> DataFrame:
+    """:func:`gamma_levels` over all candidate pairs, which are compared where the rows of a block lie and never made as rows.
+
+    A block of more than ``block_rows`` rows is dealt to parts, and each two parts
+    meet in one cell.  In a cell the levels are counted over matrices; the string
+    distance is asked for the pairs that could reach a level by the letters that they share.
+    """
+    names = _named_keys(None)
+    k = rows.where("id is not null").select("id", "name_fp", *FIELDS, F.array(*names.values()).alias("ks")).select("*", F.posexplode("ks").alias("t", "k")).where("k is not null")
+    size = k.groupBy("t", "k").count().where("count > 1").select("t", "k", F.ceil(F.col("count") / block_rows).cast("int").alias("parts"))
+    laid = k.join(size, ["t", "k"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = ["t", "k", "i", "j"]
+    cells = laid.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")}).drop("parts", "q").repartition(4 * _parts(rows), *cell)
+    made = cells.groupBy(*cell).applyInArrow(_cell_levels, ", ".join(f"{g} int" for g in TRAINED) + ", n long")
+    return made.groupBy(*TRAINED).agg(F.sum("n").alias("count"))
+
+
 def train(counts: DataFrame, u: dict[str, list[float]], *, rounds: int = 25, prior: float = PRIOR) -> dict[str, list[float]]:
     """Match chances of the levels by expectation-maximization over pattern counts (at most 5 * 3**3 rows)."""
     rows = [(tuple(r)[:-1], r["count"]) for r in counts.select(*u, "count").collect()]
@@ -207,6 +264,8 @@ def train(counts: DataFrame, u: dict[str, list[float]], *, rounds: int = 25, pri
 
 #: Levels of the trained comparisons, from different to equal.
 TRAINED = {"g_name": 4, "g_country": 2, "g_birth": 2, "g_wikidata": 2}
+#: Fields of the trained comparisons after the name, in that order.
+FIELDS = ("country", "birth_date", "wikidata_id")
 
 
 def train_on(rows: DataFrame, *, prior: float = PRIOR, draws: int = 8, seed: int = 42) -> tuple[dict[str, list[float]], dict[str, list[float]]]:
@@ -230,4 +289,4 @@ def train_on(rows: DataFrame, *, prior: float = PRIOR, draws: int = 8, seed: int
             if r[f] >= 0:
                 u[f][r[f]] += r["count"]
     u = {f: [x / sum(xs) for x in xs] for f, xs in u.items()}
-    return train(levels(_block(rows, None, rows.columns)), u, prior=prior), u
+    return train(block_levels(rows), u, prior=prior), u

@@ -1,7 +1,11 @@
+import random
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions.python_udfs import blocked_address, jaro_winkler_bytes, name_key, text_of_html
+from quillon.functions.python_udfs import Spellings, blocked_address, jaro_winkler, jaro_winkler_bytes, name_key, text_of_html
 from quillon.operators import clustering as K
 from quillon.operators import evaluation as V
 from quillon.operators import matching as M
@@ -65,6 +69,41 @@ def test_pairs_are_counted_without_making_them(spark, tmp_path):
     assert q(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_levels_of_blocks_equal_those_of_pairs(spark):
+    rng = random.Random(3)
+    name = lambda: None if rng.random() < 0.05 else "".join(rng.choice("abcé ") for _ in range(rng.choice((1, 4, 8, 12, 90))))
+    rows = [(f"r{i}", name(), rng.choice(("fr", "de", None)), rng.choice(("2000", "2001", None)), rng.choice(("Q1", "Q2", None, None))) for i in range(150)]
+    rows += [("r1", "abc", "fr", None, None), (None, "abc", "fr", None, None), ("e", "", "fr", None, None)]
+    df = spark.createDataFrame(rows, "id string, name_fp string, country string, birth_date string, wikidata_id string")
+    got = {tuple(r) for r in M.block_levels(df, block_rows=20).collect()}
+    x, y = F.col("name_fp_l"), F.col("name_fp_r")
+    pairs = M._block(df, None, df.columns).withColumn("jw", F.coalesce(jaro_winkler(F.when(x != y, x), y), F.lit(0.0)))
+    assert got == {tuple(r) for r in M.gamma_levels(pairs).collect()} and {g[0] for g in got} == {-1, 0, 1, 2, 3}
+    assert M.block_levels(df.limit(0)).count() == 0
+
+
+def test_spellings_equal_the_distance_of_two():
+    rng = random.Random(5)
+    names = ["", "martha", "marhta", "dixon", "dicksonx", *("".join(rng.choice("abcde") for _ in range(rng.choice((1, 3, 7, 10, 64, 65, 70)))) for _ in range(120))]
+    s, n = Spellings(names), len(names)
+    a, b = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
+    want = np.array([jaro_winkler_bytes(x, y) for x in names for y in names])
+    a, b, want = a[a != b], b[a != b], want[a != b]
+    a, b, want = (v[[names[i] != names[j] for i, j in zip(a, b)]] for v in (a, b, want))
+    may = s.may_reach(np.arange(n), np.arange(n), 0.82)
+    for least in (0.75, 0.82):
+        assert (s.jaro_winkler(a, b, least) == np.where(want >= least, want, 0)).all()
+    assert may[a, b][want >= 0.82].all() and (want >= 0.82).any()
+
+
+def test_training_compares_a_large_block_in_time(spark):
+    """Eight million pairs of one block; as rows through a pandas UDF they take minutes."""
+    df = spark.range(4000).selectExpr("concat('r', id) AS id", "concat(substring(sha1(concat(id)), 1, 12), ' ', substring(sha1(concat(id + 7)), 1, 6)) AS name_fp", "'fr' AS country", "'2000' AS birth_date", "cast(NULL AS string) AS wikidata_id")
+    took = time.time()
+    assert sum(r["count"] for r in M.block_levels(df).collect()) == 4000 * 3999 // 2
+    assert time.time() - took < 60
+
+
 def clusters(spark, ids, pairs, judgements=None):
     e = spark.createDataFrame([(i,) for i in ids], "id string")
     p = spark.createDataFrame(pairs, "left_id string, right_id string, probability double")
