@@ -71,7 +71,7 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 class Spellings:
     """Names as arrays of their bytes, so that many pairs of them are compared at once."""
 
-    WIDTH, LEVELS = 64, 8
+    WIDTH, LEVELS = 128, 8
 
     def __init__(self, names: list[str]):
         raw = [n.encode("utf-8") for n in names]
@@ -79,13 +79,13 @@ class Spellings:
         used = np.unique(np.frombuffer(b"".join(raw), np.uint8))
         code = np.zeros(256, np.int64)
         code[used] = np.arange(1, len(used) + 1)  # 0 is the end of a name
-        w = self.WIDTH
+        w = 64 if self.size.max(initial=0) <= 64 else self.WIDTH
         self.code = code[np.frombuffer(b"".join(r[:w].ljust(w, b"\0") for r in raw), np.uint8)].reshape(-1, w)
         self.code[np.arange(w) >= self.size[:, None]] = 0
-        self.at = np.zeros((len(raw), len(used) + 1), np.uint64)
+        self.at = np.zeros((w // 64, len(raw), len(used) + 1), np.uint64)  # places of each byte, 64 a word
         for i in range(w):
-            self.at[np.arange(len(raw)), self.code[:, i]] |= np.uint64(1 << i)
-        self.at[:, 0] = 0
+            self.at[i // 64, np.arange(len(raw)), self.code[:, i]] |= np.uint64(1 << i % 64)
+        self.at[:, :, 0] = 0
         n = np.array([np.bincount(code[np.frombuffer(r, np.uint8)], minlength=len(used) + 1)[1:] for r in raw], np.int64).reshape(len(raw), -1)
         levels = [(n[:, k] >= v)[:, None] for k in range(n.shape[1]) for v in range(1, min(self.LEVELS, int(n[:, k].max(initial=0))) + 1)]
         self.has = np.concatenate(levels, 1).astype(np.float32) if levels else np.zeros((len(raw), 1), np.float32)
@@ -100,53 +100,72 @@ class Spellings:
             k += same
         return k
 
-    def may_reach(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-        """Matrix of the pairs of ``a`` and ``b`` whose Jaro-Winkler could be ``least`` (above 0.7) by the bytes that they have in common, whatever the order."""
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Matrix of the bytes that ``a`` and ``b`` have in common, whatever the order, or somewhat more."""
         common = self.has[a] @ self.has[b].T
         if self.more[a].any() and self.more[b].any():
             common += np.minimum(self.more[a][:, None], self.more[b][None, :])
-        turn = (1 / np.maximum(self.size, 1)).astype(np.float32)
-        common *= turn[a][:, None] + turn[b][None, :]
+        return common
+
+    @staticmethod
+    def need(least: float) -> np.ndarray:
+        """Three times the Jaro that a pair with 0 to 4 equal first bytes must have for ``least`` (above 0.7)."""
         k = np.arange(5) / 10
-        need = (3 * np.maximum((least - k) / (1 - k), 0.7) - 1 - 1e-4).astype(np.float32)
-        return common >= need[self.prefix(a[:, None], b[None, :])]
+        return 3 * np.maximum((least - k) / (1 - k), 0.7) - 1e-4
+
+    def may_reach(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+        """Matrix of the pairs of ``a`` and ``b`` whose Jaro-Winkler could be ``least`` (above 0.7) by :meth:`common`."""
+        turn = (1 / np.maximum(self.size, 1)).astype(np.float32)
+        common = self.common(a, b) * (turn[a][:, None] + turn[b][None, :])
+        return common >= (self.need(least) - 1).astype(np.float32)[self.prefix(a[:, None], b[None, :])]
 
     def jaro_winkler(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
         """:func:`jaro_winkler_bytes` of the pairs ``a[i], b[i]``; 0 where it is below ``least`` (above 0.7)."""
         out = np.zeros(len(a))
-        short = (self.size[a] <= self.WIDTH) & (self.size[b] <= self.WIDTH)
-        for i in np.flatnonzero(~short):
+        longer = np.maximum(self.size[a], self.size[b])
+        for i in np.flatnonzero(longer > self.WIDTH):
             out[i] = jaro_winkler_bytes(self.names[a[i]], self.names[b[i]])
-        pick = np.flatnonzero(short & (self.size[a] > 0) & (self.size[b] > 0))
-        for lo in range(0, len(pick), 1 << 14):
-            ix = pick[lo : lo + (1 << 14)]
-            out[ix] = self._short(a[ix], b[ix], least)
+        some = (self.size[a] > 0) & (self.size[b] > 0)
+        for words in (1, 2):
+            pick = np.flatnonzero(some & (longer <= 64 * words) & (longer > 64 * words - 64))
+            for lo in range(0, len(pick), 1 << 14):
+                ix = pick[lo : lo + (1 << 14)]
+                out[ix] = self._short(a[ix], b[ix], least, words)
         out[out < least] = 0.0
         return out
 
-    def _short(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    def _short(self, a: np.ndarray, b: np.ndarray, least: float, words: int) -> np.ndarray:
         one = np.uint64(1)
-        below = np.array([(1 << k) - 1 for k in range(self.WIDTH + 1)], np.uint64)  # masks of the first k bytes
+        below = np.array([(1 << k) - 1 for k in range(65)], np.uint64)  # masks of the first k bytes
+        first = lambda k, w: below[np.minimum(np.maximum(k - 64 * w, 0), 64)]
         n, m = self.size[a], self.size[b]
         reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
-        taken, left = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
+        taken, left = np.zeros((words, len(a)), np.uint64), np.zeros((words, len(a)), np.uint64)
         for i in range(int(n.max(initial=0))):
-            free = self.at[b, self.code[a, i]] & below[np.minimum(i + reach + 1, self.WIDTH)] & ~below[np.maximum(i - reach, 0)] & ~taken
-            low = free & (~free + one)
-            taken |= low
-            left |= (low != 0).astype(np.uint64) << np.uint64(i)
-        c = np.bitwise_count(taken).astype(np.float64)
+            found = np.zeros(len(a), bool)
+            for w in range(words):
+                free = self.at[w, b, self.code[a, i]] & first(i + reach + 1, w) & ~first(i - reach, w) & ~taken[w]
+                free[found] = 0
+                low = free & (~free + one)
+                taken[w] |= low
+                found |= low != 0
+            left[i // 64] |= found.astype(np.uint64) << np.uint64(i % 64)
+        c = np.bitwise_count(taken).sum(0).astype(np.float64)
         k = self.prefix(a, b)
         best = (c / n + c / m + 1) / 3
         out = np.zeros(len(a))
         on = np.flatnonzero((c > 0) & (best + 0.1 * k * (1 - best) >= least - 1e-9))
-        a, b, c, k, n, m, taken, left = a[on], b[on], c[on], k[on], n[on], m[on], taken[on], left[on]
+        a, b, c, k, n, m, taken, left = a[on], b[on], c[on], k[on], n[on], m[on], taken[:, on], left[:, on]
         half = np.zeros(len(on), np.int64)
         for i in range(int(n.max(initial=0))):
-            here = (left >> np.uint64(i)) & one != 0
-            low = taken & (~taken + one)
-            half += here & (self.at[b, self.code[a, i]] & low == 0)
-            taken = np.where(here, taken ^ low, taken)
+            here = (left[i // 64] >> np.uint64(i % 64)) & one != 0
+            met, open_ = np.zeros(len(on), bool), here.copy()
+            for w in range(words):
+                low = np.where(open_, taken[w] & (~taken[w] + one), np.uint64(0))
+                taken[w] ^= low
+                met |= self.at[w, b, self.code[a, i]] & low != 0
+                open_ &= low == 0
+            half += here & ~met
         sim = (c / n + c / m + (c - half // 2) / c) / 3
         out[on] = np.where(sim > 0.7, sim + 0.1 * k * (1 - sim), sim)
         return out

@@ -7,12 +7,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon import ontology as O
-from quillon.functions.python_udfs import Spellings, jaro_winkler, name_fingerprint
+from quillon.functions.close_names import CloseNames
+from quillon.functions.python_udfs import jaro_winkler, name_fingerprint
 from quillon.functions.scalars import first_value
 from quillon.runtime import table
 from quillon.schema import ANCHORS
@@ -184,59 +186,149 @@ def gamma_levels(both: DataFrame) -> DataFrame:
     return both.groupBy(name.alias("g_name"), eq("country").alias("g_country"), eq("birth_date").alias("g_birth"), eq("wikidata_id").alias("g_wikidata")).count()
 
 
-def _cell_levels(cell: pa.Table) -> pa.Table:
-    """Counts of the comparison levels over the pairs of one cell of a block."""
-    col = {c: cell.column(c).to_pylist() for c in ("id", "p", "name_fp", *FIELDS)}
-    code = lambda vs: np.array([d.setdefault(v, len(d)) if v is not None else -1 for d in [{}] for v in vs], np.int64)
-    rank = {v: k for k, v in enumerate(sorted(set(col["id"])))}
-    order, part = np.array([rank[v] for v in col["id"]]), np.array(col["p"])
-    known = {c: code(col[c]) for c in ("name_fp", *FIELDS)}
-    name, spelled = known["name_fp"], Spellings([v or "" for v in col["name_fp"]])
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers of the values of a column, -1 where there is none."""
+    return pc.fill_null(column.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _counted(counts: dict[tuple[int, ...], int]) -> pa.Table:
+    got = [(*g, n) for g, n in counts.items() if n]
+    return pa.Table.from_arrays([pa.array([r[i] for r in got], pa.int64() if c == "n" else pa.int32()) for i, c in enumerate([*TRAINED, "n"])], names=[*TRAINED, "n"])
+
+
+def _block_totals(block: pa.Table) -> pa.Table:
+    """Counts of the levels over the pairs of one block, all unequal names as different.
+
+    No pair is made: the pairs with any values, with known ones and with equal ones of each
+    field follow from the sizes of groups of rows, and their differences are the levels.  Pairs that
+    share an id or an earlier key are taken off by inclusion and exclusion.
+    """
+    ident, fields = _codes(block.column("id")), [_codes(block.column(c)) for c in ("name_fp", *FIELDS)]
+    off = [_codes(block.column(f"k{i}")) for i in range(block.column("t")[0].as_py())]
+    off += [ident] if len(np.unique(ident)) < len(ident) else []
+    n = np.zeros([3] * len(fields), np.int64)  # any, known, equal
+
+    def within(rows: np.ndarray, group: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = c[rows] >= 0
+        rows = rows[known]
+        return rows, np.unique(group[known] * (int(c.max(initial=0)) + 1) + c[rows], return_inverse=True)[1]
+
+    def pairs(rows: np.ndarray, group: np.ndarray, less: list[np.ndarray]) -> int:
+        if len(rows) < 2:
+            return 0
+        if less:
+            return pairs(rows, group, less[1:]) - pairs(*within(rows, group, less[0]), less[1:])
+        size = np.bincount(group)
+        return int((size * (size - 1) // 2).sum())
+
+    def fill(state: tuple[int, ...], rows: np.ndarray, group: np.ndarray) -> None:
+        if len(rows) < 2:
+            return
+        if len(state) == len(fields):
+            n[state] = pairs(rows, group, off)
+            return
+        c = fields[len(state)]
+        known = c[rows] >= 0
+        fill((*state, 1), rows[known], group[known])
+        fill((*state, 2), *within(rows, group, c))
+        if known.all():
+            n[(*state, 0)] = n[(*state, 1)]
+        else:
+            fill((*state, 0), rows, group)
+
+    fill((), np.arange(len(ident)), np.zeros(len(ident), np.int64))
+    for f in range(len(fields)):
+        of, known, equal = np.moveaxis(n, f, 0).copy()
+        n = np.stack([of - known, known - equal, equal], f)
+    tops = [k - 1 for k in TRAINED.values()]
+    return _counted({tuple((-1, 0, top)[x] for x, top in zip(at, tops)): int(n[tuple(at)]) for at in np.argwhere(n)})
+
+
+def _close_levels(cell: pa.Table) -> pa.Table:
+    """What the levels of one cell of a block change by the pairs with names that are unequal but close."""
     t, i, j = (cell.column(c)[0].as_py() for c in ("t", "i", "j"))
-    keys = [code(k) for k in list(zip(*cell.column("ks").to_pylist()))[:t]]
-    a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
-    total = np.zeros(5 * 3 ** len(FIELDS), np.int64)
-    step = max(1, (1 << 20) // max(1, len(b)))
-    for lo in range(0, len(a), step):
-        x, y = a[lo : lo + step], b
-        keep = order[x][:, None] < order[y][None, :] if i == j else order[x][:, None] != order[y][None, :]
-        for k in keys:  # the pairs that share an earlier key are counted there
-            keep &= (k[x][:, None] != k[y][None, :]) | (k[x] < 0)[:, None]
-        kind = np.zeros(keep.shape, np.int16)
-        for f in FIELDS:
-            eq = (known[f][x][:, None] == known[f][y][None, :]).astype(np.int16) + 1
-            eq[known[f][x] < 0] = 0
-            eq[:, known[f][y] < 0] = 0
-            kind = kind * 3 + eq
-        level = np.where(name[x][:, None] == name[y][None, :], 4, 1).astype(np.int16)
-        level[name[x] < 0] = 0
-        level[:, name[y] < 0] = 0
-        r, c = np.nonzero(keep & (level == 1) & spelled.may_reach(x, y, NAME_EDGES[1]))
-        p, q = x[r], y[c]
-        first = order[p] < order[q]
-        jw = spelled.jaro_winkler(np.where(first, p, q), np.where(first, q, p), NAME_EDGES[1])
-        level[r, c] += (jw >= NAME_EDGES[1]).astype(np.int16) + (jw >= NAME_EDGES[0])
-        total += np.bincount((level * 3 ** len(FIELDS) + kind)[keep], minlength=len(total))
-    at = np.flatnonzero(total)
-    cols = [at // 3 ** len(FIELDS) - 1, *(at // 3 ** (len(FIELDS) - 1 - k) % 3 - 1 for k in range(len(FIELDS)))]
-    return pa.Table.from_arrays([*(pa.array(v, pa.int32()) for v in cols), pa.array(total[at], pa.int64())], names=[*TRAINED, "n"])
+    text = cell.column("name_fp").to_pylist()
+    names = sorted(set(text))
+    place = {v: k for k, v in enumerate(names)}
+    name, part = np.array([place[v] for v in text]), cell.column("p").to_numpy()
+    ident = _codes(cell.column("id"))
+    fields, off = [_codes(cell.column(c)) for c in FIELDS], [_codes(cell.column(f"k{x}")) for x in range(t)]
+    by = np.argsort(name, kind="stable")
+    many = np.bincount(name, minlength=len(names))
+    start = np.cumsum(many) - many
+    close = CloseNames(names, NAME_EDGES)
+    of = np.zeros(len(names), np.int64)
+    of[name] = part
+    a, b = np.flatnonzero(of == i), np.flatnonzero(of == j)
+    key = np.cumsum([x == 0 or names[x][:4] != names[x - 1][:4] for x in range(len(names))])
+    found = close.unlike(a, None if i == j else b, key) if t else close.alike(a, None if i == j else b)
+    kinds = 3 ** len(FIELDS)
+    total = np.zeros(3 * kinds, np.int64)
+
+    def count(p: np.ndarray, q: np.ndarray, level: np.ndarray) -> None:
+        keep = ident[p] != ident[q]
+        for k in off:  # the pairs that share an earlier key are counted there
+            keep &= (k[p] != k[q]) | (k[p] < 0)
+        p, q, kind = p[keep], q[keep], level[keep].astype(np.int64)
+        for f in fields:
+            x, y = f[p], f[q]
+            kind = kind * 3 + np.where((x < 0) | (y < 0), 0, 1 + (x == y))
+        total[:] += np.bincount(kind, minlength=len(total))
+
+    def rows(first: np.ndarray, second: np.ndarray, level: np.ndarray) -> None:
+        n = many[first] * many[second]
+        if (n == 1).all():
+            count(by[start[first]], by[start[second]], level)
+            return
+        lot = np.cumsum(n) // ROWS
+        for g in np.split(np.arange(len(n)), np.flatnonzero(np.diff(lot)) + 1):
+            for at in range(0, int(n[g].sum()), ROWS):  # a pair of names may have more pairs of rows than fit
+                k = np.arange(at, min(at + ROWS, int(n[g].sum())))
+                pair = np.searchsorted(np.cumsum(n[g]), k, "right")
+                k, pair = k - (np.cumsum(n[g]) - n[g])[pair], g[pair]
+                count(by[start[first[pair]] + k // many[second[pair]]], by[start[second[pair]] + k % many[second[pair]]], level[pair])
+
+    held, size = [], 0
+    for f in found:
+        held.append(f)
+        size += len(f[0])
+        if size > 1 << 18:
+            rows(*(np.concatenate(x) for x in zip(*held)))
+            held, size = [], 0
+    if size:
+        rows(*(np.concatenate(x) for x in zip(*held)))
+    counts: dict[tuple[int, ...], int] = {}
+    for at in np.flatnonzero(total).tolist():
+        kind = tuple(at // 3 ** (len(FIELDS) - 1 - k) % 3 - 1 for k in range(len(FIELDS)))
+        counts[(at // kinds, *kind)] = int(total[at])
+        counts[(0, *kind)] = counts.get((0, *kind), 0) - int(total[at])
+    return _counted(counts)
 
 
 def block_levels(rows: DataFrame, block_rows: int = 4000) -> DataFrame:
-    """:func:`gamma_levels` over all candidate pairs, which are compared where the rows of a block lie and never made as rows.
+    """:func:`gamma_levels` over all candidate pairs, which are never made as rows.
 
-    A block of more than ``block_rows`` rows is dealt to parts, and each two parts
-    meet in one cell.  In a cell the levels are counted over matrices; the string
-    distance is asked for the pairs that could reach a level by the letters that they share.
+    The levels but for those of close names follow from the sizes of groups in each block.
+    Close names are looked for among the names of a block, once each: a block of more than
+    ``block_rows`` rows (four times as many where most pairs are left out sooner) is dealt by name
+    to parts, and each two parts meet in one cell. A pair counts under the first key that it shares, that of the beginning of the name first.
     """
-    names = _named_keys(None)
-    k = rows.where("id is not null").select("id", "name_fp", *FIELDS, F.array(*names.values()).alias("ks")).select("*", F.posexplode("ks").alias("t", "k")).where("k is not null")
-    size = k.groupBy("t", "k").count().where("count > 1").select("t", "k", F.ceil(F.col("count") / block_rows).cast("int").alias("parts"))
-    laid = k.join(size, ["t", "k"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    named = _named_keys(None)
+    keys = [named[k] for k in ("n", "c", "w")]
+    base = rows.where("id is not null").select("id", "name_fp", *FIELDS, *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    k = base.select("*", F.posexplode(F.array(*(f"k{i}" for i in range(len(keys))))).alias("t", "k")).where("k is not null")
+    levels = ", ".join(f"{g} int" for g in TRAINED) + ", n long"
+    n = 4 * _parts(rows)
+    totals = k.repartition(n, "t", "k").groupBy("t", "k").applyInArrow(_block_totals, levels)
+
+    spelled = k.where("name_fp <> ''")
+    limit = F.when(F.col("t") == 0, block_rows).otherwise(4 * block_rows)
+    size = spelled.groupBy("t", "k").count().where("count > 1").select("t", "k", F.ceil(F.col("count") / limit).cast("int").alias("parts"))
+    laid = spelled.join(size, ["t", "k"]).withColumn("p", F.pmod(F.xxhash64("name_fp"), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = ["t", "k", "i", "j"]
-    cells = laid.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")}).drop("parts", "q").repartition(4 * _parts(rows), *cell)
-    made = cells.groupBy(*cell).applyInArrow(_cell_levels, ", ".join(f"{g} int" for g in TRAINED) + ", n long")
-    return made.groupBy(*TRAINED).agg(F.sum("n").alias("count"))
+    cells = laid.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q")}).drop("parts", "q").repartition(n, *cell)
+    close = cells.groupBy(*cell).applyInArrow(_close_levels, levels)
+    return totals.unionByName(close).groupBy(*TRAINED).agg(F.sum("n").alias("count")).where("count > 0")
 
 
 def train(counts: DataFrame, u: dict[str, list[float]], *, rounds: int = 25, prior: float = PRIOR) -> dict[str, list[float]]:
@@ -266,6 +358,8 @@ def train(counts: DataFrame, u: dict[str, list[float]], *, rounds: int = 25, pri
 TRAINED = {"g_name": 4, "g_country": 2, "g_birth": 2, "g_wikidata": 2}
 #: Fields of the trained comparisons after the name, in that order.
 FIELDS = ("country", "birth_date", "wikidata_id")
+#: Pairs of rows that a cell lays out at once.
+ROWS = 1 << 20
 
 
 def train_on(rows: DataFrame, *, prior: float = PRIOR, draws: int = 8, seed: int = 42) -> tuple[dict[str, list[float]], dict[str, list[float]]]:

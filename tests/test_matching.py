@@ -104,6 +104,35 @@ def test_training_compares_a_large_block_in_time(spark):
     assert time.time() - took < 60
 
 
+def test_training_compares_names_with_one_beginning_in_time(spark):
+    """Two hundred million pairs of one block whose letters rule out few; as single pairs they take minutes."""
+    df = spark.range(20_000).selectExpr("concat('r', id) AS id", "concat('atlas ', translate(substring(sha1(concat(id)), 1, 12), '0123456789', 'aeiouaeiou'), ' limited') AS name_fp", "cast(NULL AS string) AS country", "concat(id % 3) AS birth_date", "cast(NULL AS string) AS wikidata_id")
+    took = time.time()
+    got = M.block_levels(df).collect()
+    assert time.time() - took < 60
+    assert sum(r["count"] for r in got) == 20_000 * 19_999 // 2 and all(r["count"] > 0 for r in got)
+
+
+def test_close_names_are_those_of_all_pairs(monkeypatch):
+    from quillon.functions import close_names
+
+    monkeypatch.setattr(close_names, "TILE", 50)
+    rng = random.Random(7)
+    end = lambda: "".join(rng.choice("abcdeé ") for _ in range(rng.choice((0, 2, 8, 14, 30, 58, 61, 80, 130))))
+    for few, begin in ((0, ["atla"]), (200, ["atla"]), (0, ["atla", "atlb", "atz ", "ax", "b", "é"])):
+        monkeypatch.setattr(close_names, "FEW", few)
+        names = sorted({rng.choice(begin) + end() for _ in range(220)})
+        close, part = close_names.CloseNames(names, (0.92, 0.82)), np.array([rng.random() < 0.4 for _ in names])
+        key = np.cumsum([i == 0 or names[i][:4] != names[i - 1][:4] for i in range(len(names))])
+        find = close.alike if len(begin) == 1 else lambda a, b: close.unlike(a, b, key)
+        jw = lambda i, j: jaro_winkler_bytes(names[i], names[j])
+        assert all(jw(i, j) == jw(j, i) for i in range(len(names)) for j in range(i))
+        for a, b in ((np.arange(len(names)), None), (np.flatnonzero(part), np.flatnonzero(~part))):
+            got = [(min(x, y), max(x, y), lv) for f in find(a, b) for x, y, lv in zip(*(v.tolist() for v in f))]
+            want = {(i, j, 1 + (jw(i, j) >= 0.92)) for i in range(len(names)) for j in range(i + 1, len(names)) if (b is None or part[i] != part[j]) and (len(begin) == 1 or key[i] != key[j]) and jw(i, j) >= 0.82}
+            assert set(got) == want and len(got) == len(want) > 5
+
+
 def clusters(spark, ids, pairs, judgements=None):
     e = spark.createDataFrame([(i,) for i in ids], "id string")
     p = spark.createDataFrame(pairs, "left_id string, right_id string, probability double")
